@@ -421,3 +421,29 @@ ORACLE["genre_from_tags_of_documents"] = "select doc_id, case " + " ".join(
 ORACLE["collab_split_of_documents"] = r"""select doc_id, len(list_filter(list_transform(
   string_split_regex(text, ',\s*|\s*&\s*|\s*ft\.?\s*|\s*feat\.?\s*'), lambda x: trim(x, e' \t\n\r\x0b\x0c')),
   lambda x: length(x) > 0))::int as parts from documents"""
+
+CLOSED = "date <= (select max(date) from daily) - 2"
+put(SIG,
+    standardize="select artist, title, date, " + ", ".join(
+        f"round(({c} - avg({c}) over ()) / stddev_pop({c}) over (), 6) as z_{c}" for c in (
+            "streams", "pct_change", "spike_ratio", "seasonal_spike", "rolling_cv", "drop_after_spike")) + " from use",
+    ensemble_flags="""select artist, title, date, (seasonal_spike > 1.8)::int as iso_bot, (spike_ratio > 1.8)::int as lof_bot,
+  (seasonal_spike > 1.8 and spike_ratio > 1.8)::int as ensemble_bot from use""",
+    live_daily=f"select * from daily where {CLOSED}",
+    live_signals=f"""select artist, title, date, {rounded('pct_change', 'spike_ratio')}, round(seasonal_live, 6) as seasonal_spike, {rounded('rolling_cv')}
+  from use where {CLOSED}""")
+KNN = """e as (select vec_id as id, embedding::double[] as v from embeddings),
+d as (select a.id as p, b.id as o, list_distance(a.v, b.v) as dist from e a join e b on a.id <> b.id),
+k as (select * from (select *, row_number() over (partition by p order by dist, o) as rk from d) where rk <= {k})"""
+LRD = KNN.replace("{k}", "20") + """,
+kd as (select p, max(dist) as kdist from k group by p),
+lrd as (select k.p, 1.0 / (avg(greatest(kd.kdist, k.dist)) + 1e-10) as lrd from k join kd on kd.p = k.o group by k.p)"""
+put(KNN.replace("{k}", "10"), knn_embeddings="select p as id, rk as rank, o as neighbor, round(dist, 6) as distance from k")
+put(LRD, lof_embeddings="""select k.p as id, round(avg(b.lrd) / any_value(a.lrd), 6) as lof
+  from k join lrd a on a.p = k.p join lrd b on b.p = k.o group by k.p""")
+put(LRD + """,
+nd as (select a.id as p, b.id as o, list_distance(list_reverse(a.v), b.v) as dist from e a join e b on true),
+nk as (select * from (select *, row_number() over (partition by p order by dist, o) as rk from nd) where rk <= 20),
+nl as (select nk.p, 1.0 / (avg(greatest(kd.kdist, nk.dist)) + 1e-10) as lrd from nk join kd on kd.p = nk.o group by nk.p)""",
+    lof_novelty_embeddings="""select nk.p as id, round(avg(b.lrd) / any_value(a.lrd), 6) as lof
+  from nk join nl a on a.p = nk.p join lrd b on b.p = nk.o group by nk.p""")

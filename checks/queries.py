@@ -8,13 +8,23 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch import schema, streaming
 from tidewatch.config import DEFAULT
 from tidewatch.functions import collab_names, genre_from_tags, normalize_name, reason_text, risk_band
 from tidewatch.functions.frames import round_columns
+from tidewatch.models import detector as detectors, scaler
+from tidewatch.models.detector import Detector
+from tidewatch.models.iforest import fit_forest, forest_scores
+from tidewatch.models.knn import knn_join
+from tidewatch.models.lof import collapse, fit_lof, novelty_lof
 from tidewatch.operators import (
     confounders, daily as day_ops, genres, inject, labels, leaderboard as board, ranking, rollup, sessions,
     signals,
 )
+from tidewatch.operators.prefix import running_totals
+from tidewatch.operators.quantile import exact_quantiles
+from tidewatch.plans import audit, sweeps
+from tidewatch.plans.audit import audit_charts, signal_table
 from tidewatch.plans.evaluate import evaluate_documented, positive_ranks
 from tidewatch.runtime import materialize, new_path
 from tidewatch.sources import (
@@ -379,14 +389,12 @@ def roc_auc(s, d):
 
 @query
 def scaler_stats(s, d):
-    from tidewatch.models.scaler import scaler_frame
-    out = scaler_frame(signals.feature_matrix(signal_days(s, d)), signals.features_for("retrospective"))
+    out = scaler.scaler_frame(signals.feature_matrix(signal_days(s, d)), signals.features_for("retrospective"))
     return round_columns(out, "mean", "scale")
 
 
 @query
 def score_quantile(s, d):
-    from tidewatch.operators.quantile import exact_quantiles
     sig = materialize(signal_days(s, d).select("spike_ratio"), "scores")
     probs = [0.01, 0.02, 0.05, 0.5, 0.98]
     # the narrowing path, as on tables that are too large for one pass
@@ -443,7 +451,6 @@ def suspicion_rank(s, d):
 @query
 def track_suspicion_rank(s, d):
     """Rank of every track by score, with the split path."""
-    from tidewatch.operators.prefix import running_totals
     rows = tracks(s, d).select(F.concat_ws("|", "artist", "title").alias("name"), "bot_pct")
     out = running_totals(rows, [], "bot_pct", "name", F.lit(1.0), descending=True, every=64)
     return out.select("name", "bot_pct", F.col("run_count").alias("rank"))
@@ -624,3 +631,172 @@ def inject_spike(s, d):
 @query
 def inject_plateau(s, d):
     return round_columns(inject.inject(daily(s, d), 300, 5, 3.0, pattern="plateau"), "streams")
+
+
+# ---- models ----------------------------------------------------------------------------------------------------
+
+def vectors(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+def fitted(s: SparkSession, d: str, mode: str = "retrospective"):
+    """A detector trained on the signals of the chart view, and its flagged rows."""
+    detector = Detector.of(CFG)
+    flags = detector.fit_flag(signal_table(kept(s, d), mode, CFG), signals.features_for(mode))
+    return detector, flags
+
+
+@query
+def knn_embeddings(s, d):
+    points = collapse(vectors(s, d), id_col="id")
+    lists = knn_join(points, points, 10, True, cell_rows=100)
+    return lists.select("id", F.posexplode("ids").alias("pos", "neighbor"), "dists").select(
+        "id", (F.col("pos") + 1).alias("rank"), "neighbor", F.round(F.get("dists", "pos"), 6).alias("distance"))
+
+
+@query
+def lof_embeddings(s, d):
+    out = fit_lof(collapse(vectors(s, d), id_col="id"), 20, cell_rows=100)
+    return out.select("id", F.round("lof", 6).alias("lof"))
+
+
+@query
+def lof_novelty_embeddings(s, d):
+    """Every vector read backwards, as a new point against all vectors."""
+    reference = fit_lof(collapse(vectors(s, d), id_col="id"), 20, cell_rows=100)
+    new = vectors(s, d).withColumn("vec", F.reverse("vec"))
+    return novelty_lof(materialize(new, "new"), materialize(reference, "reference"), 20, cell_rows=100).select(
+        "id", F.round("lof", 6).alias("lof"))
+
+
+@query
+def standardize(s, d):
+    sig = materialize(signals.feature_matrix(signal_days(s, d), keep=["artist", "title", "date"]), "features")
+    names = signals.features_for("retrospective")
+    out = scaler.standardize(sig, scaler.fit_scaler(sig, names))
+    return out.select("artist", "title", "date", *[F.round(F.get("vec", F.lit(i)), 6).alias(f"z_{n}")
+                                                   for i, n in enumerate(names)])
+
+
+@query
+def ensemble_flags(s, d):
+    """Two rule-based votes in place of the models."""
+    votes = signal_days(s, d).select("artist", "title", "date",
+                                     (F.col("seasonal_spike") > 1.8).cast("int").alias("iso_bot"),
+                                     (F.col("spike_ratio") > 1.8).cast("int").alias("lof_bot"))
+    return detectors.ensemble_flags(votes)
+
+
+@query
+def iforest_nodes(s, d):
+    sig = materialize(signal_days(s, d), "signals")
+    names = signals.features_for("retrospective")
+    scaled = scaler.standardize(sig, scaler.fit_scaler(sig, names)).select("artist", "title", "date", "vec")
+    return s.createDataFrame(fit_forest(scaled).nodes)
+
+
+@query
+def iforest_scores(s, d):
+    sig = materialize(signal_days(s, d), "signals")
+    names = signals.features_for("retrospective")
+    scaled = scaler.standardize(sig, scaler.fit_scaler(sig, names)).select("artist", "title", "date", "vec")
+    return forest_scores(scaled, fit_forest(scaled)).drop("vec")
+
+
+@query
+def detector_fit(s, d):
+    _, flags = fitted(s, d)
+    return flags.select("artist", "title", "date", "iso_score", "lof_score", "iso_bot", "lof_bot", "ensemble_bot")
+
+
+@query
+def detector_save_load(s, d):
+    """Save, load, and score live signals of the same table as new rows."""
+    detector, _ = fitted(s, d, "live")
+    path = new_path(s, "model")
+    detector.save(s, path)
+    rows = materialize(signal_days(s, d, "live"), "signals")
+    return Detector.load(s, path).transform(rows).select("artist", "title", "date", "iso_bot", "lof_bot", "ensemble_bot")
+
+
+@query
+def full_audit_artists(s, d):
+    return audit_charts(kept(s, d), cfg=CFG).artists
+
+
+@query
+def full_audit_tracks(s, d):
+    return audit_charts(kept(s, d), cfg=CFG).tracks
+
+
+@query
+def incremental_score(s, d):
+    """Train on one chart region, score the days of another with the first as history."""
+    charts = drop_missing_streams(charts_view(s, d))
+    past = materialize(charts.where(F.col("region") == "United States"), "past")
+    new = charts.where(F.col("region") == "Global")
+    detector = audit_charts(past, cfg=CFG).detector
+    return audit.incremental_score(new, detector, history=past, cfg=CFG)
+
+
+@query
+def session_anomaly(s, d):
+    return sessions.session_anomaly(sessions_view(s, d)).select("session_id", "artist", "anomaly_score", "is_bot")
+
+
+@query
+def session_anomaly_stats(s, d):
+    return sessions.session_artist_stats(sessions.session_anomaly(sessions_view(s, d)))
+
+
+@query
+def boost_sweep(s, d):
+    return sweeps.boost_sweep(daily(s, d), boosts=(5.0,), cfg=CFG)
+
+
+@query
+def contamination_sweep(s, d):
+    return sweeps.contamination_sweep(daily(s, d), cfg=CFG)
+
+
+@query
+def contamination_tune(s, d):
+    return sweeps.contamination_tune(kept(s, d), incidents_view(s, d), cfg=CFG)
+
+
+# ---- streaming ---------------------------------------------------------------------------------------------------
+
+def chart_stream(s: SparkSession, d: str) -> DataFrame:
+    path = new_path(s, "stream")
+    kept(s, d).write.parquet(path)
+    return s.readStream.schema(schema.CHARTS).parquet(path)
+
+
+@query
+def live_daily(s, d):
+    """A stream of all chart rows, drained; the two newest days stay open behind the watermark."""
+    out = new_path(s, "live")
+    running = (streaming.live_daily(chart_stream(s, d)).writeStream.outputMode("append").format("parquet")
+               .option("path", f"{out}/days").option("checkpointLocation", f"{out}/query")
+               .trigger(availableNow=True).start())
+    running.awaitTermination()
+    return s.read.parquet(f"{out}/days")
+
+
+@query
+def live_signals(s, d):
+    """The causal signals of every closed day, from the streaming job."""
+    job = streaming.LiveScorer(s, new_path(s, "live"), cfg=CFG)
+    job.start(chart_stream(s, d), availableNow=True).awaitTermination()
+    out = job.scored().select("artist", "title", "date", *signals.SIGNALS)
+    return round_columns(out, *signals.SIGNALS)
+
+
+@query
+def live_score(s, d):
+    """Streaming flags with a detector trained on the live signals of the same charts."""
+    detector, _ = fitted(s, d, "live")
+    job = streaming.LiveScorer(s, new_path(s, "live"), detector, CFG)
+    job.start(chart_stream(s, d), availableNow=True).awaitTermination()
+    return job.scored().select("artist", "title", "date", "iso_bot", "lof_bot", "ensemble_bot")
