@@ -732,12 +732,12 @@ def full_audit_tracks(s, d):
 
 @query
 def incremental_score(s, d):
-    """Train on one chart region, score the days of another with the first as history."""
-    charts = drop_missing_streams(charts_view(s, d))
-    past = materialize(charts.where(F.col("region") == "United States"), "past")
-    new = charts.where(F.col("region") == "Global")
+    """Train on the days before 2000, score the later ones with the earlier as history."""
+    charts = materialize(kept(s, d), "charts")
+    past = charts.where(F.col("date") < "2000-01-01")
     detector = audit_charts(past, cfg=CFG).detector
-    return audit.incremental_score(new, detector, history=past, cfg=CFG)
+    out = audit.incremental_score(charts.where(F.col("date") >= "2000-01-01"), detector, history=past, cfg=CFG)
+    return out.select("artist", "title", "date", "iso_bot", "lof_bot", "ensemble_bot")
 
 
 @query
