@@ -491,7 +491,7 @@ def control_sample(s, d):
 
 @query
 def review_sheet(s, d):
-    return labels.review_sheet(tracks(s, d))
+    return labels.review_sheet(materialize(tracks(s, d), "tracks"))
 
 
 # ---- expressions ------------------------------------------------------------------------------------------------
@@ -609,7 +609,7 @@ def evaluate_by_confidence(s, d):
 
 @query
 def label_score(s, d):
-    t = tracks(s, d)
+    t = materialize(tracks(s, d), "tracks")
     return labels.label_score(labels_view(t), t)
 
 
@@ -620,7 +620,7 @@ def mask_low_confidence(s, d):
 
 @query
 def leaderboard(s, d):
-    return board.leaderboard(genre_artists(s, d), reveal=1.5, min_bot_pct=0.1)
+    return board.leaderboard(materialize(genre_artists(s, d), "artists"), reveal=1.5, min_bot_pct=0.1)
 
 
 @query

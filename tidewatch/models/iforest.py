@@ -75,22 +75,28 @@ class Forest:
                 starts, int(nodes["depth"].max()), len(sizes) * float(average_path(np.array(self.sample))))
 
 
-def draw_pool(df: DataFrame, vec: str, rows: int, seed: int) -> np.ndarray:
-    """At most ``rows`` vectors with the smallest seeded hashes: uniform, and the same for any partitioning.
+def smallest_hashes(df: DataFrame, columns: list[str], value: str, rows: int, seed: int, total: int) -> np.ndarray:
+    """``value`` of the rows with the smallest seeded hashes over ``columns``: a uniform sample of bounded size,
+    the same for any partitioning.
 
-    Rows with equal vectors get equal hashes, so a second hash over the key columns tells them apart.
+    On large tables a hash limit that about four times as many rows pass is applied first, so that the final
+    top-n does not gather ``rows`` rows from every split of the input.
     """
-    keys = [c for c in df.columns if c != vec]
-    hashed = df.select(F.xxhash64(F.lit(seed), *keys, vec).alias("h"), F.col(vec).alias("v"))
-    picked = hashed.orderBy("h", "v").limit(rows).toPandas()
-    picked = picked.sort_values("h", ignore_index=True)
+    hashed = df.select(F.xxhash64(F.lit(seed), *columns).alias("h"), F.col(value).alias("v"))
+    limit = -(1 << 63) + (1 << 64) * 4 * rows // max(total, 1)
+    passing = hashed.where(F.col("h") < F.lit(limit)) if total > 8 * rows else hashed
+    picked = passing.orderBy("h", "v").limit(rows).toPandas()
+    if len(picked) < min(rows, total) and total > 8 * rows:
+        # copies share a hash, so the limit can pass too few rows
+        picked = hashed.orderBy("h", "v").limit(rows).toPandas()
     return np.array(picked["v"].tolist(), dtype=float).reshape(len(picked), -1)
 
 
 def fit_forest(df: DataFrame, vec: str = "vec", trees: int = 200, sample: int = 256, seed: int = 42) -> Forest:
     """Grow the trees in parallel tasks from one bounded pool of trees x sample rows."""
     spark: SparkSession = df.sparkSession
-    pool = draw_pool(df, vec, trees * sample, seed)
+    # the key columns tell rows with equal vectors apart
+    pool = smallest_hashes(df, [c for c in df.columns if c != vec] + [vec], vec, trees * sample, seed, df.count())
     if len(pool) == 0:
         raise ValueError("cannot fit on an empty table")
     take = min(sample, len(pool))
