@@ -116,3 +116,11 @@ def test_windows_share_one_shuffle_of_the_daily_rows(spark):
     prepared = signals.track_signals(daily_totals(track(spark, [1, 2, 3])))._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan
     assert prepared.count("Exchange hashpartitioning") == 2   # the daily sum, then all windows of a track
+
+
+def test_monthly_mean_shares_the_shuffle_of_the_daily_sum(spark, tmp_path):
+    track(spark, [1, 2, 3, 4, 5]).write.parquet(f"{tmp_path}/charts")
+    out = signals.engineer_signals(daily_totals(spark.read.parquet(f"{tmp_path}/charts")))
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final

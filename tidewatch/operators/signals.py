@@ -61,9 +61,11 @@ def add_seasonal(daily: DataFrame, mode: str = "retrospective", cfg: AuditConfig
     one task. ``month_base`` (artist, month, base_sum, base_count) holds totals of earlier runs.
     """
     if mode == "retrospective":
-        joined = daily.join(month_means(daily), ["artist", "month"])
+        means = month_means(daily).withColumnsRenamed({"artist": "_artist", "month": "_month"})
+        # a null-safe match on the month adds no filter below the daily sum, whose shuffle is then shared
+        joined = daily.join(means, (F.col("artist") == F.col("_artist")) & F.col("month").eqNullSafe(F.col("_month")))
         return (joined.withColumn("seasonal_spike", _ratio(F.col("streams"), F.col("month_avg")))
-                .drop("month_avg"))
+                .drop("_artist", "_month", "month_avg"))
     run = running_totals(daily, ["artist", "month"], "date", "title", "streams", every=cfg.prefix_rows)
     total, count = F.col("run_sum"), F.col("run_count")
     if month_base is not None:
