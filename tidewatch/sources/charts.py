@@ -30,21 +30,27 @@ def drop_missing_streams(charts: DataFrame) -> DataFrame:
     return charts.where(present(F.col("streams")))
 
 
+def _is_csv(path: str) -> bool:
+    return path.rstrip("/").endswith(".csv")
+
+
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    """CSV columns are read as text: the header decides which is which, whatever else the file holds."""
+    return spark.read.option("header", True).csv(path) if _is_csv(path) else spark.read.parquet(path)
+
+
 def _scan(spark: SparkSession, path: str) -> DataFrame:
-    """Schema-on-read of Parquet or CSV. Only the five chart columns leave the scan."""
-    if path.rstrip("/").endswith(".csv"):
-        # The header decides which column is which, whatever else the file holds.
-        names = spark.read.option("header", True).csv(path).columns
-        raw = spark.read.option("header", True).csv(path)
-        return raw.select(*[
-            (F.try_to_date(F.col(f.name)) if f.name == "date" else F.col(f.name).try_cast(f.dataType))
-            .alias(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in schema.CHARTS
-        ])
-    raw = spark.read.parquet(path)
-    have = set(raw.columns)
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have
-                        else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.CHARTS])
+    """Chart columns under the fixed schema, NULL where the source lacks one. Nothing else leaves the scan."""
+    raw = _raw(spark, path)
+
+    def typed(f):
+        if f.name not in raw.columns:
+            return F.lit(None).cast(f.dataType)
+        if not _is_csv(path):
+            return F.col(f.name).cast(f.dataType)
+        return F.try_to_date(F.col(f.name)) if f.name == "date" else F.col(f.name).try_cast(f.dataType)
+
+    return raw.select(*[typed(f).alias(f.name) for f in schema.CHARTS])
 
 
 def curate_charts(spark: SparkSession, raw: str, out: str | None = None,
@@ -57,7 +63,7 @@ def curate_charts(spark: SparkSession, raw: str, out: str | None = None,
     kept = drop_missing_streams(region_filter(_scan(spark, raw), regions or DEFAULT.regions, all_regions))
     if out is None:
         return kept
-    if out.rstrip("/").endswith(".csv"):
+    if _is_csv(out):
         kept.write.mode("overwrite").option("header", True).csv(out)
     else:
         kept.withColumn("year", F.year("date")).write.mode("overwrite").partitionBy("year").parquet(out)
@@ -73,11 +79,8 @@ def read_charts(spark: SparkSession, path: str, sample: int | None = None, all_r
                 regions: Sequence[str] = DEFAULT.regions) -> DataFrame:
     """Chart rows ready for the audit. ``all_regions`` takes every row of an all-regions table."""
     rows = _scan(spark, path)
-    if not all_regions:
-        has_region = "region" in (spark.read.parquet(path).columns if not path.rstrip("/").endswith(".csv")
-                                  else spark.read.option("header", True).csv(path).columns)
-        if has_region:
-            rows = region_filter(rows, regions)
+    if not all_regions and "region" in _raw(spark, path).columns:
+        rows = region_filter(rows, regions)
     rows = drop_missing_streams(rows)
     return take_first(rows, sample) if sample else rows
 
