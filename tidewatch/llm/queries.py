@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import mixing, packing, repetition, secrets, simhash
+from tidewatch.llm import chat, html_text, mixing, packing, repetition, secrets, simhash
 from tidewatch.llm.common import table
 
 
@@ -25,6 +25,14 @@ def op3_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.chat_digest(chat.with_probe(table(spark, folder, "conversations")))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     measured = repetition.repetition(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
     return measured.withColumns({"base_failed": repetition.base_failed(), "kept": repetition.passes()})
@@ -38,6 +46,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_source_mixing": op3_source_mixing,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_quality_rules": op6_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
