@@ -18,6 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver's JVM collect its garbage: shuffle files of finished steps are deleted once their plans are gone."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and the row offsets into them; nulls count as empty."""
     column = column.fill_null("") if column.null_count else column

@@ -19,13 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import SPACES_PATTERN
+from tidewatch.llm.common import SPACES_PATTERN, release
 from tidewatch.runtime import materialize
 
 SIMILARITY = (4, 5)
-RARITY_SLOTS = 1 << 19
+RARITY_SLOTS = 1 << 18
+RARITY_BITS = 8
 FILTER_LONGS = 1 << 17
 LAST = (1 << 63) - 1
+#: Spark's xxhash64 of the empty string.
+EMPTY = -7444071767201028348
 
 
 def fixed_array(slots: DataFrame, size: int) -> Column:
@@ -48,8 +51,9 @@ def may_contain(bitmap: Column, key: Column, longs: int = FILTER_LONGS) -> Colum
     return F.call_function("shiftrightunsigned", word, F.shiftrightunsigned(key, 40).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def tokens_of(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(line, SPACES_PATTERN), ""))
+def hashes_of(line: Column) -> Column:
+    """Hashes of the words of a line, repeats and empty strings at its ends included."""
+    return F.transform(F.split(line, SPACES_PATTERN), lambda w: F.xxhash64(w))
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -68,58 +72,68 @@ def _lines(documents: DataFrame) -> DataFrame:
             .where(F.col("line").rlike(r"[^\x20\x09-\x0D]")))
 
 
-def _place() -> Column:
-    return F.xxhash64("doc_id", "line_no")
+def _place(doc: Column, line: Column) -> Column:
+    return F.xxhash64(F.coalesce(doc, F.lit(LAST)), line)
 
 
 def _ordered(lines: DataFrame, rarity: Column) -> DataFrame:
-    """Adds words: the distinct word hashes, rarest first."""
-    ranked = F.array_sort(F.transform(F.transform(tokens_of(F.col("line")), lambda w: F.xxhash64(w)), lambda h: F.struct(
-        F.get("rarity", h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int")).alias("n"), h.alias("h"))))
+    """Adds words: the distinct words of a line, rarest first. A word is its step of rarity and 55 bits of its hash."""
+    low = (1 << 64 - RARITY_BITS - 1) - 1
+    coded = F.transform(F.array_remove(F.array_distinct(hashes_of(F.col("line"))), EMPTY), lambda h: F.call_function(
+        "shiftleft", F.get("rarity", h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int")), F.lit(64 - RARITY_BITS - 1)).bitwiseOR(
+        F.shiftrightunsigned(h, RARITY_BITS + 1).bitwiseAND(F.lit(low))))
     # The optimizer merges both projections: the array is a constant of the plan, not a value of each row.
-    return lines.withColumn("rarity", rarity).withColumn("words", F.transform(ranked, lambda s: s["h"])).drop("rarity")
+    return lines.withColumn("rarity", rarity).withColumn("words", F.sort_array(coded)).drop("rarity")
+
+
+def _parity(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def similar_lines(documents: DataFrame) -> DataFrame:
     """Columns doc_id, line_no: the lines to remove from `documents` (doc_id, text), each once."""
     p, q = SIMILARITY
+    spark = documents.sparkSession
     lines = _lines(documents)
-    slot = F.xxhash64("word").bitwiseAND(F.lit(RARITY_SLOTS - 1))
-    rarity = fixed_array(lines.select(F.explode(tokens_of(F.col("line"))).alias("word")).groupBy(slot.alias("slot"))
-                         .agg(F.count(F.lit(1)).alias("value")), RARITY_SLOTS)
+    counted = lines.select(F.explode(hashes_of(F.col("line"))).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("slot")).count()
+    steps = F.least(F.floor(4 * F.log2("count")) + 1, F.lit((1 << RARITY_BITS) - 1))
+    rarity = fixed_array(counted.select("slot", steps.alias("value")), RARITY_SLOTS)
+    release(spark)
 
     # 1. Sets, and the earliest line of each.
     words = F.col("words")
-    keyed = _ordered(lines, rarity).select(
-        "doc_id", "line_no", F.xxhash64(words).alias("key"), F.size(words).alias("n"),
-        F.aggregate(words, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
-        F.slice(words, 1, _prefix(F.size(words), F.ceil(F.size(words) * p / q))).alias("prefix"))
-    keyed = materialize(keyed, "lines")
+    keyed = materialize(_ordered(lines, rarity).select(
+        "doc_id", "line_no", F.xxhash64(words).alias("key"), F.size(words).alias("n"), _parity(words).alias("bits"),
+        F.slice(words, 1, _prefix(F.size(words), F.ceil(F.size(words) * p / q))).alias("prefix")), "lines")
     at = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("line_no").alias("line"))
-    sets = materialize(keyed.groupBy("key", "n", "bits").agg(F.min(at).alias("at")), "line-sets")
+    sets = materialize(keyed.groupBy("key").agg(F.min(F.struct(at.alias("at"), "n", "bits", "prefix")).alias("first")).select("key", "first.*"), "line-sets")
+    release(spark)
+
+    # 2. Sets that may have a partner. Each set is listed under its rarest words.
+    listed = sets.select("key", "bits", "n", F.posexplode("prefix").alias("pos", "word")).select(
+        "word", "key", "bits", (F.col("n").cast("long") * (1 << 32) + F.col("pos")).alias("size"))
 
-    # 2. Sets that may have a partner. Each set is listed under its rarest words; the shorter set of a pair needs fewer.
-    first = keyed.join(sets.select("key", "at"), "key", "left_semi").select("key", "n", "bits", "prefix")
-    listed = first.dropDuplicates(["key"]).select("key", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
-    short = F.col("pos") < _prefix(F.col("n"), F.ceil(F.col("n") * (2 * p) / (p + q)))
+    def n_of(side: str) -> Column:
+        return F.shiftright(F.col(f"{side}.size"), 32)
 
-    def close(x: str, y: str) -> Column:
-        nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-        need = _need(nx, ny)
-        left = F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos"))
-        return ((F.col(f"{x}.word") == F.col(f"{y}.word")) & (F.col(f"{x}.key") != F.col(f"{y}.key")) & (nx <= ny) & (ny * p <= nx * q) & (left >= need)
-                & (F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= nx + ny - 2 * need))
+    def left_of(side: str) -> Column:
+        return n_of(side) - F.col(f"{side}.size").bitwiseAND(F.lit((1 << 32) - 1))
 
-    x, y = listed.where(short).alias("x"), listed.alias("y")
-    partners = x.join(y, close("x", "y"), "left_semi").select("key").unionByName(y.join(x, close("x", "y"), "left_semi").select("key")).distinct()
-    chosen = materialize(sets.join(partners, "key", "left_semi"), "line-candidates")
+    nx, ny = n_of("x"), n_of("y")
+    need = _need(nx, ny)
+    close = ((F.col("x.word") == F.col("y.word")) & (F.col("x.key") != F.col("y.key")) & (nx * p <= ny * q) & (ny * p <= nx * q)
+             & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= nx + ny - 2 * need) & (F.least(left_of("x"), left_of("y")) >= need))
+    partners = listed.alias("x").join(listed.alias("y"), close, "left_semi").select("key").distinct()
+    chosen = materialize(sets.drop("prefix").join(partners, "key", "left_semi"), "line-candidates")
+    release(spark)
 
     # Their words, read again from the lines that stand for them.
-    stand = chosen.select("key", F.xxhash64(F.col("at.doc"), F.col("at.line")).alias("place"))
-    here = F.xxhash64(F.coalesce("doc_id", F.lit(LAST)), "line_no")
-    bitmap = membership(stand.select(F.col("place").alias("key")))
-    again = _ordered(lines.where(may_contain(bitmap, here)), rarity).select(F.xxhash64("words").alias("key"), "words").dropDuplicates(["key"])
+    bitmap = membership(chosen.select(_place(F.col("at.doc"), F.col("at.line")).alias("key")))
+    again = _ordered(lines.where(may_contain(bitmap, _place(F.col("doc_id"), F.col("line_no")))), rarity)
+    again = again.select(F.xxhash64("words").alias("key"), "words").dropDuplicates(["key"])
     chosen = materialize(chosen.join(again, "key"), "line-words")
+    release(spark)
     listed = chosen.select("key", "n", "bits", "at", F.posexplode(F.slice("words", 1, _prefix(F.col("n"), F.ceil(F.col("n") * p / q)))).alias("pos", "word"))
     listed = materialize(listed, "line-lists")
 
@@ -145,10 +159,12 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     rest = rest.where((F.col("before") < F.col("at")) & sizes & bound
                       & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) >= _need(F.col("n"), F.col("m")))).select("key", "other")
     gone = materialize(gone.unionByName(verified(rest)), "line-second")
+    release(spark)
 
     # Every line of a similar set goes, of the other sets every line but the earliest.
     first_place = sets.select(F.col("key"), F.col("at").alias("kept_at")).join(gone, "key", "left_anti")
     kept = first_place.select("key", F.col("kept_at.doc").alias("doc"), F.col("kept_at.line").alias("line"))
+    keyed = keyed.select("doc_id", "line_no", "key")
     removed = keyed.alias("l").join(kept.alias("k"), (F.col("l.key") == F.col("k.key")) & (F.coalesce(F.col("l.doc_id"), F.lit(LAST)) == F.col("k.doc"))
                                     & (F.col("l.line_no") == F.col("k.line")), "left_anti")
     return removed.select("doc_id", "line_no").distinct()

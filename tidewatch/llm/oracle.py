@@ -38,21 +38,22 @@ with split as (
   select doc_id, unnest(parts) as line, generate_subscripts(parts, 1) as line_no from split
 ), sets as (
   select doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '{WORD}'))) as words,
-    row_number() over (order by doc_id, line_no) as at from lines
+    row_number() over (order by doc_id, line_no) as place from lines
 ), firsts as (
-  select words, min(at) as at, len(words) as n from sets where len(words) > 0 group by words
+  select words, min(place) as place, len(words) as n from sets where len(words) > 0 group by words
 ), tokens as (
-  select at, n, unnest(words) as word from firsts
-), similar as (
-  select y.at from tokens x join tokens y on x.word = y.word and x.at < y.at and 4 * x.n <= 5 * y.n and 4 * y.n <= 5 * x.n
-  group by x.at, y.at, x.n, y.n having 9 * count(*) >= 4 * (x.n + y.n)
+  select place, n, unnest(words) as word from firsts
+), similar_sets as (
+  select y.place from tokens x join tokens y on x.word = y.word and x.place < y.place and 4 * x.n <= 5 * y.n and 4 * y.n <= 5 * x.n
+  group by x.place, y.place, x.n, y.n having 9 * count(*) >= 4 * (x.n + y.n)
 ), kept as (
   select doc_id, line_no from sets
-  where len(words) = 0 or at in (select at from firsts where at not in (select at from similar))
+  where len(words) = 0 or place in (select place from firsts where place not in (select place from similar_sets))
 ), joined as (
-  select l.doc_id, string_agg(l.line, chr(10) order by l.line_no) as text from lines l join kept k on l.doc_id = k.doc_id and l.line_no = k.line_no group by l.doc_id
+  select l.doc_id, string_agg(l.line, chr(10) order by l.line_no) as text
+  from lines l join kept k on l.doc_id = k.doc_id and l.line_no = k.line_no group by l.doc_id
 )
 select s.doc_id, case when s.text is null then null else coalesce(j.text, '') end as text,
-  case when s.text is null then null else length(coalesce(j.text, '')) end::bigint as n_kept_chars
+  (case when s.text is null then null else length(coalesce(j.text, '')) end)::bigint as n_kept_chars
 from split s left join joined j on s.doc_id = j.doc_id
 """
