@@ -24,7 +24,8 @@ def work_dir(spark: SparkSession) -> str:
     shared = spark.conf.get(CHECKPOINT_KEY, None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
@@ -42,3 +43,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that `materialize` wrote. Only for tables that no later step reads, not even after a lost executor."""
+    spark = df.sparkSession
+    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    root = f"{work_dir(spark)}/tidewatch/"
+    for path in paths:
+        if root.split(":", 1)[-1].lstrip("/") not in path:
+            raise ValueError(f"not a table of this session's work folder: {path}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
