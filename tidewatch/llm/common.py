@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets the driver's JVM collect its garbage: shuffle files of finished steps are deleted once their plans are gone."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import SPACES_PATTERN, release
-from tidewatch.runtime import materialize
+from tidewatch.runtime import discard, materialize
 
 SIMILARITY = (4, 5)
 RARITY_SLOTS = 1 << 18
@@ -56,12 +56,6 @@ def hashes_of(line: Column) -> Column:
     return F.transform(F.split(line, SPACES_PATTERN), lambda w: F.xxhash64(w))
 
 
-def _need(a: Column, b: Column) -> Column:
-    """Least overlap of sets of these sizes for the similarity, as an integer."""
-    p, q = SIMILARITY
-    return F.floor((p * (a + b) + p + q - 1) / (p + q))
-
-
 def _prefix(n: Column, overlap: Column) -> Column:
     return (n - overlap + 1).cast("int")
 
@@ -96,36 +90,41 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     p, q = SIMILARITY
     spark = documents.sparkSession
     lines = _lines(documents)
-    counted = lines.select(F.explode(hashes_of(F.col("line"))).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("slot")).count()
+    counted = (documents.select(F.explode(F.split(F.col("text").cast("string"), SPACES_PATTERN)).alias("word"))
+               .groupBy(F.xxhash64("word").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("slot")).count())
     steps = F.least(F.floor(4 * F.log2("count")) + 1, F.lit((1 << RARITY_BITS) - 1))
     rarity = fixed_array(counted.select("slot", steps.alias("value")), RARITY_SLOTS)
     release(spark)
 
     # 1. Sets, and the earliest line of each.
     words = F.col("words")
-    keyed = materialize(_ordered(lines, rarity).select(
+    full = materialize(_ordered(lines, rarity).select(
         "doc_id", "line_no", F.xxhash64(words).alias("key"), F.size(words).alias("n"), _parity(words).alias("bits"),
         F.slice(words, 1, _prefix(F.size(words), F.ceil(F.size(words) * p / q))).alias("prefix")), "lines")
     at = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("line_no").alias("line"))
-    sets = materialize(keyed.groupBy("key").agg(F.min(F.struct(at.alias("at"), "n", "bits", "prefix")).alias("first")).select("key", "first.*"), "line-sets")
+    whole = materialize(full.groupBy("key").agg(F.min(F.struct(at.alias("at"), "n", "bits", "prefix")).alias("first")).select("key", "first.*"), "line-sets")
+    keyed = materialize(full.select("doc_id", "line_no", "key"), "line-keys")
+    sets = materialize(whole.select("key", "n", "bits", "at"), "sets")
+    discard(full)
     release(spark)
 
     # 2. Sets that may have a partner. Each set is listed under its rarest words.
-    listed = sets.select("key", "bits", "n", F.posexplode("prefix").alias("pos", "word")).select(
-        "word", "key", "bits", (F.col("n").cast("long") * (1 << 32) + F.col("pos")).alias("size"))
+    listed = whole.select("key", "bits", "n", F.posexplode("prefix").alias("pos", "word")).select(
+        "word", "key", "bits", (F.col("n").cast("long") * (1 << 32) + F.col("n") - F.col("pos")).alias("size"))
 
     def n_of(side: str) -> Column:
         return F.shiftright(F.col(f"{side}.size"), 32)
 
     def left_of(side: str) -> Column:
-        return n_of(side) - F.col(f"{side}.size").bitwiseAND(F.lit((1 << 32) - 1))
+        return F.col(f"{side}.size").bitwiseAND(F.lit((1 << 32) - 1))
 
     nx, ny = n_of("x"), n_of("y")
-    need = _need(nx, ny)
-    close = ((F.col("x.word") == F.col("y.word")) & (F.col("x.key") != F.col("y.key")) & (nx * p <= ny * q) & (ny * p <= nx * q)
-             & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= nx + ny - 2 * need) & (F.least(left_of("x"), left_of("y")) >= need))
+    close = ((F.col("x.word") == F.col("y.word")) & (F.col("x.key") != F.col("y.key"))
+             & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) * (p + q) <= (q - p) * (nx + ny))
+             & (nx * p <= ny * q) & (ny * p <= nx * q) & (F.least(left_of("x"), left_of("y")) * (p + q) >= p * (nx + ny)))
     partners = listed.alias("x").join(listed.alias("y"), close, "left_semi").select("key").distinct()
-    chosen = materialize(sets.drop("prefix").join(partners, "key", "left_semi"), "line-candidates")
+    chosen = materialize(sets.join(partners, "key", "left_semi"), "line-candidates")
+    discard(whole)
     release(spark)
 
     # Their words, read again from the lines that stand for them.
@@ -146,7 +145,8 @@ def similar_lines(documents: DataFrame) -> DataFrame:
                 .select("key").distinct())
 
     # 3. Against the earliest set of each word.
-    bound = F.bit_count(F.col("bits").bitwiseXOR(F.col("b"))) <= F.col("n") + F.col("m") - 2 * _need(F.col("n"), F.col("m"))
+    both = F.col("n") + F.col("m")
+    bound = F.bit_count(F.col("bits").bitwiseXOR(F.col("b"))) * (p + q) <= (q - p) * both
     sizes = (F.col("n") * p <= F.col("m") * q) & (F.col("m") * p <= F.col("n") * q)
     lead = listed.groupBy("word").agg(F.min(F.struct("at", F.col("key").alias("other"), F.col("n").alias("m"), F.col("bits").alias("b"))).alias("lead")).select("word", "lead.*")
     pairs = listed.drop("at").join(lead.drop("at"), "word").where(F.col("key") != F.col("other")).where(bound & sizes).select("key", "other")
@@ -157,14 +157,13 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     rest = open_.select("word", "key", "n", "bits", "at", "pos").join(
         listed.select("word", F.col("key").alias("other"), F.col("n").alias("m"), F.col("bits").alias("b"), F.col("at").alias("before"), F.col("pos").alias("pos2")), "word")
     rest = rest.where((F.col("before") < F.col("at")) & sizes & bound
-                      & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) >= _need(F.col("n"), F.col("m")))).select("key", "other")
+                      & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) * (p + q) >= p * both)).select("key", "other")
     gone = materialize(gone.unionByName(verified(rest)), "line-second")
     release(spark)
 
     # Every line of a similar set goes, of the other sets every line but the earliest.
     first_place = sets.select(F.col("key"), F.col("at").alias("kept_at")).join(gone, "key", "left_anti")
     kept = first_place.select("key", F.col("kept_at.doc").alias("doc"), F.col("kept_at.line").alias("line"))
-    keyed = keyed.select("doc_id", "line_no", "key")
     removed = keyed.alias("l").join(kept.alias("k"), (F.col("l.key") == F.col("k.key")) & (F.coalesce(F.col("l.doc_id"), F.lit(LAST)) == F.col("k.doc"))
                                     & (F.col("l.line_no") == F.col("k.line")), "left_anti")
     return removed.select("doc_id", "line_no").distinct()
