@@ -7,18 +7,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACES_PATTERN = r"[\x20\x09-\x0D]+"
 
+#: Spark's xxhash64 of the empty string.
+EMPTY = -7444071767201028348
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def hashes_of(text: Column) -> Column:
+    """Hashes of the words of a text, repeats and empty strings at its ends included."""
+    return F.transform(F.split(text, SPACES_PATTERN), lambda w: F.xxhash64(w))
+
+
 def release(spark: SparkSession) -> None:
     """Lets the driver's JVM collect its garbage: shuffle files of finished steps are deleted once their plans are gone."""
     gc.collect()

@@ -19,41 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import SPACES_PATTERN, release
+from tidewatch.llm.common import EMPTY, hashes_of, release, SPACES_PATTERN
+from tidewatch.llm.fixed import fixed_array, may_contain, membership
 from tidewatch.runtime import discard, materialize
 
 SIMILARITY = (4, 5)
 RARITY_SLOTS = 1 << 18
 RARITY_BITS = 8
-FILTER_LONGS = 1 << 17
 LAST = (1 << 63) - 1
-#: Spark's xxhash64 of the empty string.
-EMPTY = -7444071767201028348
-
-
-def fixed_array(slots: DataFrame, size: int) -> Column:
-    """Array of `size` longs from rows (slot, value), 0 where there is none, as a scalar: its size never grows."""
-    spark = slots.sparkSession
-    table = materialize(slots.where("value != 0"), "slots")
-    dense = spark.range(0, size, 1, 1).join(table, F.col("id") == F.col("slot"), "left")
-    packed = dense.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("value", F.lit(0)).alias("v")))).alias("all"))
-    return packed.select(F.col("all.v")).scalar()
-
-
-def membership(keys: DataFrame, longs: int = FILTER_LONGS) -> Column:
-    """Fixed-size bitmap of the 64-bit hashes in column `key`."""
-    slot = keys.select(F.col("key").bitwiseAND(F.lit(longs - 1)).alias("slot"), F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 40) & 63 as int))").alias("bit"))
-    return fixed_array(slot.groupBy("slot").agg(F.bit_or("bit").alias("value")), longs)
-
-
-def may_contain(bitmap: Column, key: Column, longs: int = FILTER_LONGS) -> Column:
-    word = F.get(bitmap, key.bitwiseAND(F.lit(longs - 1)).cast("int"))
-    return F.call_function("shiftrightunsigned", word, F.shiftrightunsigned(key, 40).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
-def hashes_of(line: Column) -> Column:
-    """Hashes of the words of a line, repeats and empty strings at its ends included."""
-    return F.transform(F.split(line, SPACES_PATTERN), lambda w: F.xxhash64(w))
 
 
 def _prefix(n: Column, overlap: Column) -> Column:

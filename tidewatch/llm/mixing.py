@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import WORD_PATTERN
+from tidewatch.llm.ordering import ROW_BITS, in_order, ranges
 from tidewatch.runtime import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -22,17 +23,14 @@ def source_weights(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     them all: sorted ranges are counted, then numbered from the sum of the counts before them."""
     spark = sizes.sparkSession
     totals = materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    order = [F.col("source").asc_nulls_last()]
-    ranged = materialize(totals.repartitionByRange(*order).sortWithinPartitions(*order)
-                         .withColumn("at", F.monotonically_increasing_id()), "sources-sorted")
-    part = F.shiftright("at", 33)
-    counts = sorted((r["part"], r["n"]) for r in ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    ranged = in_order(totals, F.col("source").asc_nulls_last())
     offsets, total = [], 0
-    for number, n in counts:           # one entry for each range, whatever the number of sources
+    for number, n in ranges(ranged):
         offsets.append((number, total))
         total += n
     starts = spark.createDataFrame(offsets, "part long, start long")
-    index = F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    part = F.shiftright("at", ROW_BITS)
+    index = F.col("start") + F.col("at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     weight = F.element_at(F.array(*map(F.lit, weights)), (index % len(weights) + 1).cast("int"))
     return (ranged.withColumn("part", part).join(starts, "part")
             .select("source", "source_size", weight.cast("double").alias("weight")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, html_text, lines, mixing, packing, repetition, secrets, simhash
+from tidewatch.llm import chat, html_text, imatch, lines, mixing, packing, repetition, secrets, simhash
 from tidewatch.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return measured.withColumns({"base_failed": repetition.base_failed(), "kept": repetition.passes()})
 
 
+def op7_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.fingerprint_edits(table(spark, folder, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "text", F.length("text").cast("long").alias("n_kept_chars"))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": op4_html_extraction,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_quality_rules": op6_quality_rules,
+    "op7_imatch_fingerprints": op7_imatch_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
