@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import EMPTY, hashes_of
+from tidewatch.llm.common import EMPTY, hashes_of, release
 from tidewatch.llm.fixed import may_contain, membership
 from tidewatch.llm.ordering import in_order, with_next
-from tidewatch.runtime import materialize
+from tidewatch.runtime import discard, materialize
 
 LEXICON = 1 << 18
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.1
@@ -37,10 +37,13 @@ def lexicon(texts: DataFrame) -> Column:
     """Bitmap of the terms in the band, from the terms of all rows of `texts` (text)."""
     counts = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts, "terms")
+    release(texts.sparkSession)
     rows, total = texts.count(), counts.agg(F.sum("n")).first()[0] or 0
     least, most = max(2, LEAST_SHARE * rows, total / LEXICON), max(2, MOST_SHARE * rows)
     band = counts.where(F.col("n").between(least, most)).select(F.explode(F.array(F.col("term"), _probe(F.col("term")))).alias("key"))
-    return membership(band)
+    bitmap = membership(band)
+    discard(counts)
+    return bitmap
 
 
 def with_prints(frame: DataFrame, texts: list[str], known: Column) -> DataFrame:
@@ -74,7 +77,7 @@ def with_prints(frame: DataFrame, texts: list[str], known: Column) -> DataFrame:
 
 
 def as_text(print_: Column) -> Column:
-    """level:24-bit hashes of the sub-lexicons, 000000 for an empty one, then the thinner ones."""
+    """level:hashes of the sub-lexicons in seven digits (0000000 for an empty one):hashes of the thinner ones."""
     def digits(values):
         return F.array_join(F.transform(values, lambda v: F.lower(F.lpad(F.hex(v), 7, "0"))), "")
     return F.concat(print_["level"].cast("string"), F.lit(":"), digits(print_["dense"]), F.lit(":"), digits(print_["sparse"]))
@@ -107,6 +110,7 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
     if rows.isEmpty():
         return base.select("doc_id", F.lit(0).cast("long").alias("n_chars"), *[F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")],
                            *[F.lit(0.0).alias(c) for c in ("near_edited", "near_next")])
+    known = lexicon(base)
     linked = with_next(rows)
     following = materialize(linked.join(rows.select(F.col("at").alias("next_at"), F.col("key").alias("next_key")), "next_at").select("key", "next_key", "n"), "next")
 
@@ -115,7 +119,6 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
     heads = heads.select("of", F.expr("substring(text, 1, cast(n div 3 as int))").alias("head")).dropDuplicates(["of"])
     edited = base.join(heads.withColumnRenamed("of", "key"), "key").withColumn(
         "edited", F.concat(F.expr("substring(text, 1, cast(length(text) - length(text) div 3 as int))"), F.col("head")))
-    known = lexicon(base)
     printed = with_prints(edited.select("doc_id", "key", F.length("text").cast("long").alias("n_chars"), "text", "edited"), ["text", "edited"], known)
     printed = printed.select("doc_id", "key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.get("prints", 0).alias("own"), F.get("prints", 1).alias("changed"))
     printed = materialize(printed, "prints")

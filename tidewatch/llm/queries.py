@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, html_text, imatch, lines, mixing, packing, repetition, secrets, simhash
+from tidewatch.llm import chat, html_text, imatch, lines, mixing, packing, repetition, secrets, simhash, suffix
 from tidewatch.llm.common import table
 
 
@@ -42,6 +42,12 @@ def op7_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.fingerprint_edits(table(spark, folder, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffix.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "text", F.length("text").cast("long").alias("n_kept_chars"))
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_quality_rules": op6_quality_rules,
     "op7_imatch_fingerprints": op7_imatch_fingerprints,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
