@@ -1,15 +1,17 @@
 """Removal of repeated substrings by distributed prefix doubling over sampled suffixes.
 
-Sampled positions (anchors) depend on nearby bytes only: an anchor has the least hash of 16 bytes in some window of WINDOW
-positions. Both occurrences of a repeated string of `length` bytes have the same anchors in their inner part, and the
-first one at or after WINDOW bytes has `length` - 2 WINDOW bytes of the string ahead. Spark sorts the anchors by rank
-pairs at growing offsets: by the rank of the first half of these bytes, then by the pair of halves, then by the pair
-and the rank of what follows up to `length` bytes. Positions whose rank is unique leave at each step. Ranks are 64-bit names
-of the bytes (only equality matters), counted with partial sums, so a passage in very many texts is no hot key.
-
-Anchors that repeat over the whole length are marked for sure. Of the anchors that repeat over the shorter length, those
-whose surroundings are not wholly marked name the classes that are still open; all positions that belong to an anchor
-of such a class, in any text, are ranked themselves over the full length.
+Sampled positions depend on nearby bytes only: an anchor has the least hash of 16 bytes in some window of WINDOW
+positions, and the position WINDOW bytes before it is ranked. Both occurrences of a repeated string of `length` bytes have
+the same anchors in their inner part, so the first ranked position in them is the same and has `length` - WINDOW bytes of
+the string ahead. Spark sorts ranked positions by rank pairs at growing offsets: by the rank of the first half of these
+bytes, then by the pair of halves, then by the pair and the rank of what follows up to `length` bytes. Positions
+whose rank is unique leave at each step. Ranks are 64-bit names of the bytes (only equality matters), counted with
+partial sums, so a passage in very many texts is no hot key.
+
+Positions that repeat over the whole length are marked for sure. Of those that repeat over the shorter length, the ones
+whose surroundings are not wholly marked name the classes that are still open. The window around each position of an open
+class, in any text, holds all strings that belong to it: windows that repeat are marked, and one of each kind of window
+ranks all its positions over the full length.
 """
 
 from __future__ import annotations
@@ -61,13 +63,14 @@ class Text:
     def names(self, starts: np.ndarray, length: int) -> np.ndarray:
         return self.roll.ranges(self.prefix, starts, starts + length)
 
-    def anchors(self) -> np.ndarray:
+    def ranked(self) -> np.ndarray:
         at = np.arange(max(0, len(self.data) - GRAM + 1))
-        return anchors(self.names(at, GRAM))
+        found = anchors(self.names(at, GRAM)) - WINDOW
+        return found[found >= 0]
 
 
 def _half(length: int) -> int:
-    return (length - 2 * WINDOW) // 2
+    return (length - WINDOW) // 2
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -79,10 +82,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             if raw is None or len(raw) < length:
                 continue
             text = Text(raw, roll)
-            at = text.anchors()
+            at = text.ranked()
             at = at[at + 2 * half <= len(raw)]
             long = at + length <= len(raw)
-            last = np.zeros(len(at), np.uint64)
+            last = np.full(len(at), 2 * len(raw), np.uint64)      # even: the text ends before, and where
             last[long] = text.names(at[long] + 2 * half, length - 2 * half) | np.uint64(1)
             keys.append(np.full(len(at), key, np.int64))
             starts.append(at)
@@ -108,24 +111,41 @@ def _open_classes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
         for near, sure in zip(batch.column("near"), batch.column("sure")):
             near = near.as_py()
             at = np.array([x["at"] for x in near], np.int64)
-            size = int(at.max()) + length
+            third = np.array([x["third"] for x in near], np.int64)
+            ends = np.where(third & 1, at + length, third >> 1)
+            size = int(ends.max())
             covered = np.concatenate([[0], np.cumsum(_cover(np.array(sure.as_py(), np.int64), length, size))])
-            low = np.maximum(at - 2 * WINDOW, 0)
-            for k in np.flatnonzero(covered[at + length] - covered[low] < at + length - low):
+            low = np.maximum(at - WINDOW + 1, 0)
+            for k in np.flatnonzero(covered[ends] - covered[low] < ends - low):
                 first.append(near[k]["first"])
                 second.append(near[k]["second"])
         yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["first", "second"])
 
 
+def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Names of the windows around the listed positions of a text."""
+    roll = RollingHash()
+    for batch in batches:
+        for key, raw, chosen in zip(batch.column("key").to_pylist(), batch.column("raw"), batch.column("chosen")):
+            text = Text(raw.as_py(), roll)
+            at = np.array(chosen.as_py(), np.int64)
+            low, high = np.maximum(at - WINDOW + 1, 0), np.minimum(at + length, len(text.data))
+            wide = high - low >= length
+            at, low, high = at[wide], low[wide], high[wide]
+            names = roll.ranges(text.prefix, low, high)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key, np.int64)), *(pa.array(x.astype(np.int32)) for x in (at, low, high - length)),
+                                              pa.array(names.view(np.int64))], names=["key", "at", "low", "high", "name"])
+
+
 def _candidate_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Names over the full length of the positions that belong to the listed anchors of a text."""
+    """Names over the full length of the positions in the windows of the listed positions of a text."""
     roll = RollingHash()
     for batch in batches:
         for key, raw, chosen in zip(batch.column("key").to_pylist(), batch.column("raw"), batch.column("chosen")):
             text = Text(raw.as_py(), roll)
-            every = text.anchors()
+            every = text.ranked()
             position = np.arange(len(text.data) - length + 1)
-            index = np.searchsorted(every, position + WINDOW)
+            index = np.searchsorted(every, position)
             position, index = position[index < len(every)], index[index < len(every)]
             position = position[np.isin(every[index], np.array(chosen.as_py(), np.int64))]
             for cut in range(0, len(position), 1 << 17):
@@ -159,8 +179,8 @@ def repeated_starts(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     discard(rows)
     release(spark)
     two = materialize(_repeated(one, "first", "second"), "ranks-2")
-    full = materialize(_repeated(two.where("third != 0"), "first", "second", "third").select("key", "at"), "ranks-3")
-    near = two.groupBy("key").agg(F.collect_list(F.struct("at", "first", "second")).alias("near"))
+    full = materialize(_repeated(two.where("third & 1 = 1"), "first", "second", "third").select("key", "at"), "ranks-3")
+    near = two.groupBy("key").agg(F.collect_list(F.struct("at", "first", "second", "third")).alias("near"))
     sure = full.groupBy("key").agg(F.collect_set("at").alias("sure"))
     marks = near.join(sure, "key", "left").select("near", F.coalesce("sure", F.array().cast("array<int>")).alias("sure"))
     still = marks.mapInArrow(lambda b: _open_classes(b, length), "first long, second long").distinct()
@@ -168,13 +188,22 @@ def repeated_starts(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     chosen = materialize(chosen, "open-anchors")
     discard(one)
     release(spark)
-    bitmap = membership(chosen.select("key"))
-    affected = texts.where(may_contain(bitmap, F.col("key"))).join(chosen, "key").select("key", "raw", "chosen")
-    candidates = materialize(affected.mapInArrow(lambda b: _candidate_rows(b, length), "key long, at int, name long"), "candidates")
+
+    def in_texts(listed: DataFrame) -> DataFrame:
+        bitmap = membership(listed.select("key"))
+        return texts.where(may_contain(bitmap, F.col("key"))).join(listed, "key").select("key", "raw", "chosen")
+
+    windows = in_texts(chosen).mapInArrow(lambda b: _window_rows(b, length), "key long, at int, low int, high int, name long")
+    windows = materialize(windows, "windows")
+    release(spark)
+    alike = materialize(windows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one")), "window-kinds")
+    single = alike.groupBy("one.key").agg(F.collect_set("one.at").alias("chosen"))
+    candidates = materialize(in_texts(single).mapInArrow(lambda b: _candidate_rows(b, length), "key long, at int, name long"), "candidates")
     release(spark)
-    starts = full.unionByName(_repeated(candidates, "name").select("key", "at"))
+    doubled = windows.join(alike.where("n > 1").select("name"), "name", "left_semi").select("key", F.explode(F.array("low", "high")).alias("at"))
+    starts = full.unionByName(_repeated(candidates, "name").select("key", "at")).unionByName(doubled)
     starts = materialize(starts.groupBy("key").agg(F.collect_set("at").alias("starts")), "starts")
-    for table in (two, full, candidates):
+    for table in (two, full, chosen, windows, alike, candidates):
         discard(table)
     release(spark)
     return starts
