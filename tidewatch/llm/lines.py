@@ -58,6 +58,17 @@ def _parity(words: Column) -> Column:
         F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
+#: Columns of a bitmap four times as wide, for the sets that are compared in full.
+WIDE = ("bits0", "bits1", "bits2", "bits3")
+
+
+def _wide_parity(words: Column) -> dict[str, Column]:
+    def part(k: int) -> Column:
+        return _parity(F.filter(words, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(3)) == k))
+
+    return {name: part(k) for k, name in enumerate(WIDE)}
+
+
 def similar_lines(documents: DataFrame) -> DataFrame:
     """Columns doc_id, line_no: the lines to remove from `documents` (doc_id, text), each once."""
     p, q = SIMILARITY
@@ -104,9 +115,9 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     bitmap = membership(chosen.select(_place(F.col("at.doc"), F.col("at.line")).alias("key")))
     again = _ordered(lines.where(may_contain(bitmap, _place(F.col("doc_id"), F.col("line_no")))), rarity)
     again = again.select(F.xxhash64("words").alias("key"), "words").dropDuplicates(["key"])
-    chosen = materialize(chosen.join(again, "key"), "line-words")
+    chosen = materialize(chosen.drop("bits").join(again.withColumns(_wide_parity(words)), "key"), "line-words")
     release(spark)
-    listed = chosen.select("key", "n", "bits", "at", F.posexplode(F.slice("words", 1, _prefix(F.col("n"), F.ceil(F.col("n") * p / q)))).alias("pos", "word"))
+    listed = chosen.select("key", "n", *WIDE, "at", F.posexplode(F.slice("words", 1, _prefix(F.col("n"), F.ceil(F.col("n") * p / q)))).alias("pos", "word"))
     listed = materialize(listed, "line-lists")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -119,16 +130,18 @@ def similar_lines(documents: DataFrame) -> DataFrame:
 
     # 3. Against the earliest set of each word.
     both = F.col("n") + F.col("m")
-    bound = F.bit_count(F.col("bits").bitwiseXOR(F.col("b"))) * (p + q) <= (q - p) * both
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"other_{b}"))) for b in WIDE), F.lit(0))
+    bound = differ * (p + q) <= (q - p) * both
+    other_bits = [F.col(b).alias(f"other_{b}") for b in WIDE]
     sizes = (F.col("n") * p <= F.col("m") * q) & (F.col("m") * p <= F.col("n") * q)
-    lead = listed.groupBy("word").agg(F.min(F.struct("at", F.col("key").alias("other"), F.col("n").alias("m"), F.col("bits").alias("b"))).alias("lead")).select("word", "lead.*")
+    lead = listed.groupBy("word").agg(F.min(F.struct("at", F.col("key").alias("other"), F.col("n").alias("m"), *other_bits)).alias("lead")).select("word", "lead.*")
     pairs = listed.drop("at").join(lead.drop("at"), "word").where(F.col("key") != F.col("other")).where(bound & sizes).select("key", "other")
     gone = materialize(verified(pairs), "line-first")
 
     # 4. The rest against every earlier candidate.
     open_ = listed.join(gone, "key", "left_anti")
-    rest = open_.select("word", "key", "n", "bits", "at", "pos").join(
-        listed.select("word", F.col("key").alias("other"), F.col("n").alias("m"), F.col("bits").alias("b"), F.col("at").alias("before"), F.col("pos").alias("pos2")), "word")
+    rest = open_.select("word", "key", "n", *WIDE, "at", "pos").join(
+        listed.select("word", F.col("key").alias("other"), F.col("n").alias("m"), *other_bits, F.col("at").alias("before"), F.col("pos").alias("pos2")), "word")
     rest = rest.where((F.col("before") < F.col("at")) & sizes & bound
                       & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) * (p + q) >= p * both)).select("key", "other")
     gone = materialize(gone.unionByName(verified(rest)), "line-second")
