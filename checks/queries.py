@@ -752,7 +752,7 @@ def session_anomaly_stats(s, d):
 
 @query
 def boost_sweep(s, d):
-    return sweeps.boost_sweep(daily(s, d), boosts=(5.0,), cfg=CFG)
+    return sweeps.boost_sweep(daily(s, d), cfg=CFG)
 
 
 @query

@@ -177,3 +177,24 @@ def test_incidents(spark):
     assert leaderboard.confirmed_incidents(table).count() == 6
     badges = {r.artist: r.removed_badge for r in leaderboard.incident_badges(table).collect()}
     assert badges["Drake"] == "Stream count unconfirmed" and badges["BTS (Jin)"] == "15M streams removed"
+
+
+def test_missing_scores_rank_last_and_keep_their_names(spark):
+    from tidewatch.operators.leaderboard import mask_low_confidence
+    from tidewatch.operators.ranking import suspicion_rank
+
+    rows = [("X", None), ("X (a)", 5.0), ("Y", None), ("Z", 9.0)]
+    ranks = {r["artist"]: r["rank"] for r in suspicion_rank(spark.createDataFrame(rows, "artist string, bot_pct double")).collect()}
+    assert ranks == {"Z": 1, "X (a)": 2, "Y": 3}
+    shown = mask_low_confidence(spark.createDataFrame([(*r, c) for r, c in zip(rows, (1.0, 1.0, 90.0, 1.0))],
+                                                      "artist string, bot_pct double, confidence double"), 50.0)
+    assert shown.count() == 4 and shown.where("artist = 'Y'").count() == 1
+
+
+def test_quoted_csv_lines_are_read(spark, tmp_path):
+    from tidewatch.sources.charts import curate_charts
+
+    path = tmp_path / "raw.csv"
+    path.write_text('title,date,artist,region,streams\n"Say ""Hi"", Bob",2020-01-01,A,Global,5\n')
+    out = curate_charts(spark, str(path), str(tmp_path / "out.csv"), regions=["Global"]).collect()
+    assert [(r["title"], r["artist"], r["streams"]) for r in out] == [('Say "Hi", Bob', "A", 5.0)]

@@ -19,18 +19,25 @@ from ..runtime import materialize
 BEFORE = Window.unboundedPreceding
 
 
+def _join_equal(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys come from the left."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [left[k].eqNullSafe(named[f"_right_{k}"]) for k in keys]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def running_totals(df: DataFrame, group: list[str], coarse: str, fine: str, value: Column | str,
                    descending: bool = False, every: int = DEFAULT.prefix_rows) -> DataFrame:
     """Add ``run_sum`` and ``run_count`` over (group) in the order coarse, fine, this row included.
 
-    (group, coarse, fine) must be unique and not NULL.
+    (group, coarse, fine) must be unique; NULLs are values of their own, last in a descending order.
     """
     value = F.col(value) if isinstance(value, str) else value
     spot = [*group, coarse]
     rows = materialize(df.withColumn("_value", value), "ordered")
-    cuts = (df.where(F.pmod(F.xxhash64(fine), F.lit(every)) == 0)
+    cuts = (rows.where(F.pmod(F.xxhash64(fine), F.lit(every)) == 0)
             .groupBy(*spot).agg(F.sort_array(F.collect_set(fine)).alias("_cuts")))
-    pieces = (rows.join(cuts, spot, "left")
+    pieces = (_join_equal(rows, cuts, spot, "left")
               .withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(
                   F.size(F.filter("_cuts", lambda c: c <= F.col(fine)))))
               .drop("_cuts"))
@@ -41,7 +48,7 @@ def running_totals(df: DataFrame, group: list[str], coarse: str, fine: str, valu
                             F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_s0"),
                             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"))
     inside = Window.partitionBy(*spot, "_piece").orderBy(fine).rowsBetween(BEFORE, 0)
-    return (pieces.join(offsets, [*spot, "_piece"])
+    return (_join_equal(pieces, offsets, [*spot, "_piece"], "inner")
             .withColumns({"run_sum": F.col("_s0") + F.sum("_value").over(inside),
                           "run_count": F.col("_n0") + F.count(F.lit(1)).over(inside)})
             .drop("_value", "_piece", "_s0", "_n0"))

@@ -23,17 +23,18 @@ def top_per_genre(artists: DataFrame, n: int = 10) -> DataFrame:
 
 
 def best_per_name(results: DataFrame, score: str = "bot_pct") -> DataFrame:
-    """One row per normalised name: the best score, ties by artist."""
+    """One row per normalised name: the best score, ties by artist; a missing score only if there is no other."""
     rest = [c for c in results.columns if c not in ("artist", score)]
-    row = F.struct((-F.col(score)).alias("_neg"), F.col("artist"), F.col(score), *rest)
+    row = F.struct(F.col(score).isNull().alias("_missing"), (-F.col(score)).alias("_neg"), F.col("artist"), F.col(score), *rest)
     best = (results.withColumn("_norm", normalize_name(F.col("artist")))
             .groupBy("_norm").agg(F.min(row).alias("_row")))
     return best.select(*[F.col(f"_row.{c}").alias(c) for c in results.columns], "_norm")
 
 
 def suspicion_rank(results: DataFrame, score: str = "bot_pct", cfg: AuditConfig = DEFAULT) -> DataFrame:
-    """Rank 1..n by score, highest first, and the share of names ranked below, without one global sort."""
-    best = materialize(best_per_name(results, score).where(F.col(score).isNotNull()), "best")
+    """Rank 1..n by score, highest first and missing scores last, and the share of names ranked below, without one
+    global sort."""
+    best = materialize(best_per_name(results, score), "best")
     ranked = running_totals(best, [], score, "artist", F.lit(1.0), descending=True, every=cfg.prefix_rows)
     n = best.select(F.count("*")).scalar()
     return (ranked.withColumn("rank", F.col("run_count")).withColumn("n", n)

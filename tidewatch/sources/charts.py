@@ -36,7 +36,7 @@ def _is_csv(path: str) -> bool:
 
 def _raw(spark: SparkSession, path: str) -> DataFrame:
     """CSV columns are read as text: the header decides which is which, whatever else the file holds."""
-    return spark.read.option("header", True).csv(path) if _is_csv(path) else spark.read.parquet(path)
+    return spark.read.option("header", True).option("escape", '"').csv(path) if _is_csv(path) else spark.read.parquet(path)
 
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +64,7 @@ def curate_charts(spark: SparkSession, raw: str, out: str | None = None,
     if out is None:
         return kept
     if _is_csv(out):
-        kept.write.mode("overwrite").option("header", True).csv(out)
+        kept.write.mode("overwrite").option("header", True).option("escape", '"').csv(out)
     else:
         kept.withColumn("year", F.year("date")).write.mode("overwrite").partitionBy("year").parquet(out)
     return _scan(spark, out)
