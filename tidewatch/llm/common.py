@@ -28,6 +28,13 @@ def hashes_of(text: Column) -> Column:
     return F.transform(F.split(text, SPACES_PATTERN), lambda w: F.xxhash64(w))
 
 
+def blank_split(line: Column) -> Column:
+    """Words of a line, and empty strings between them where white space repeats. A single blank is split without a
+    regular expression, which is several times faster on short lines."""
+    other = r"[\t\n\x0B\f\r]"
+    return F.split(F.when(line.rlike(other), F.regexp_replace(line, other, " ")).otherwise(line), " ")
+
+
 def release(spark: SparkSession) -> None:
     """Lets the driver's JVM collect its garbage: shuffle files of finished steps are deleted once their plans are gone."""
     gc.collect()

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import EMPTY, hashes_of, release, SPACES_PATTERN
+from tidewatch.llm.common import EMPTY, blank_split, release
 from tidewatch.llm.fixed import fixed_array, may_contain, membership
 from tidewatch.runtime import discard, materialize
 
@@ -45,10 +45,10 @@ def _place(doc: Column, line: Column) -> Column:
 
 def _ordered(lines: DataFrame, rarity: Column) -> DataFrame:
     """Adds words: the distinct words of a line, rarest first. A word is its step of rarity and 55 bits of its hash."""
-    low = (1 << 64 - RARITY_BITS - 1) - 1
-    coded = F.transform(F.array_remove(F.array_distinct(hashes_of(F.col("line"))), EMPTY), lambda h: F.call_function(
-        "shiftleft", F.get("rarity", h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int")), F.lit(64 - RARITY_BITS - 1)).bitwiseOR(
-        F.shiftrightunsigned(h, RARITY_BITS + 1).bitwiseAND(F.lit(low))))
+    hashes = F.array_remove(F.array_distinct(F.transform(blank_split(F.col("line")), lambda w: F.xxhash64(w))), EMPTY)
+    # The coalesce rules nulls out, so the array is sorted and compared as plain longs.
+    coded = F.transform(hashes, lambda h: F.coalesce(F.get("rarity", h.bitwiseAND(F.lit(RARITY_SLOTS - 1))), F.lit(0).cast("long")).bitwiseOR(
+        F.shiftrightunsigned(h, RARITY_BITS + 1)))
     # The optimizer merges both projections: the array is a constant of the plan, not a value of each row.
     return lines.withColumn("rarity", rarity).withColumn("words", F.sort_array(coded)).drop("rarity")
 
@@ -74,10 +74,10 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     p, q = SIMILARITY
     spark = documents.sparkSession
     lines = _lines(documents)
-    counted = (documents.select(F.explode(F.split(F.col("text").cast("string"), SPACES_PATTERN)).alias("word"))
+    counted = (lines.select(F.explode(blank_split(F.col("line"))).alias("word"))
                .groupBy(F.xxhash64("word").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("slot")).count())
     steps = F.least(F.floor(4 * F.log2("count")) + 1, F.lit((1 << RARITY_BITS) - 1))
-    rarity = fixed_array(counted.select("slot", steps.alias("value")), RARITY_SLOTS)
+    rarity = fixed_array(counted.select("slot", F.shiftleft(steps, 64 - RARITY_BITS - 1).alias("value")), RARITY_SLOTS)
     release(spark)
 
     # 1. Sets, and the earliest line of each.
