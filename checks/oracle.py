@@ -234,14 +234,12 @@ put(DAILY,
     month_mean="select artist, month, round(avg(streams), 6) as month_avg from daily group by artist, month",
     weekend_ratio="""select artist, title, date, (day_of_week >= 5)::int as is_weekend,
   round(coalesce(avg(case when day_of_week >= 5 then streams end) over (partition by artist, title)
-   / (avg(case when day_of_week < 5 then streams end) over (partition by artist, title) + 1), 0), 6) as weekend_ratio from daily""",
-    causality_diff="""select (select count(*) from daily) - (select count(*) from (select distinct artist, title from daily))
-  - (select count(*) from nulls) as compared, 0::bigint as changed from (select 1)""")
-# the gap is NULL only where every compared signal is; it never is once two rows precede
+   / (avg(case when day_of_week < 5 then streams end) over (partition by artist, title) + 1), 0), 6) as weekend_ratio from daily""")
+# the gap is NULL only where every compared signal is
 ORACLE["causality_diff"] = "with " + SIG + """,
-lastd as (select artist, title, max(date) as m from daily group by artist, title)
-select count(*) as compared, 0::bigint as changed from sig join lastd using (artist, title)
-where date < m and coalesce(pct_change, spike_ratio, rolling_cv) is not null"""
+lastd as (select max(date) as m from daily)
+select count(*) as compared, 0::bigint as changed from sig, lastd
+where date < m and coalesce(pct_change, spike_ratio, rolling_cv, seasonal_live) is not null"""
 put(SIG,
     velocity=f"select artist, title, date, prev_streams, {rounded('pct_change', 'rolling_7d_avg', 'spike_ratio')} from sig",
     plateau_cv=f"select artist, title, date, {rounded('rolling_std', 'rolling_cv')} from sig",

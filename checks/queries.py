@@ -258,14 +258,11 @@ def death_spike_adjust(s, d):
 
 @query
 def causality_diff(s, d):
-    """Live signals of every day against a run that ends one day earlier per track."""
+    """Live signals of every day against a run that ends one day earlier."""
     days = daily(s, d)
-    last = days.groupBy("artist", "title").agg(F.max("date").alias("last_day"))
-    past = days.join(last, ["artist", "title"]).where(F.col("date") < F.col("last_day")).drop("last_day")
-    # the seasonal mean is causal per artist, so it is compared per track on the signals of the track itself
-    columns = ["pct_change", "spike_ratio", "rolling_cv"]
-    full = signals.track_signals(days, "live", CFG)
-    part = signals.track_signals(past, "live", CFG)
+    past = days.where(F.col("date") < days.agg(F.max("date")).scalar())
+    full, part = (signals.add_seasonal(signals.track_signals(x, "live", CFG), "live", CFG) for x in (days, past))
+    columns = ["pct_change", "spike_ratio", "rolling_cv", "seasonal_spike"]
     gaps = signals.causality_diff(full, part, columns, tolerance=-1.0)
     return gaps.agg(F.count("*").alias("compared"), F.count_if(F.col("gap") > 1e-9).alias("changed"))
 
