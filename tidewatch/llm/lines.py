@@ -58,6 +58,11 @@ def _parity(words: Column) -> Column:
         F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def _odd(words: Column) -> Column:
+    """The words that count in the second half of a bitmap twice as wide. Its first half is _parity of all words XOR that of these."""
+    return F.filter(words, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(1)) == 1)
+
+
 #: Columns of a bitmap four times as wide, for the sets that are compared in full.
 WIDE = ("bits0", "bits1", "bits2", "bits3")
 
@@ -83,18 +88,18 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     # 1. Sets, and the earliest line of each.
     words = F.col("words")
     full = materialize(_ordered(lines, rarity).select(
-        "doc_id", "line_no", F.xxhash64(words).alias("key"), F.size(words).alias("n"), _parity(words).alias("bits"),
+        "doc_id", "line_no", F.xxhash64(words).alias("key"), F.size(words).alias("n"), _parity(words).alias("bits"), _parity(_odd(words)).alias("odd"),
         F.slice(words, 1, _prefix(F.size(words), F.ceil(F.size(words) * p / q))).alias("prefix")), "lines")
     at = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("line_no").alias("line"))
-    whole = materialize(full.groupBy("key").agg(F.min(F.struct(at.alias("at"), "n", "bits", "prefix")).alias("first")).select("key", "first.*"), "line-sets")
+    whole = materialize(full.groupBy("key").agg(F.min(F.struct(at.alias("at"), "n", "bits", "odd", "prefix")).alias("first")).select("key", "first.*"), "line-sets")
     keyed = materialize(full.select("doc_id", "line_no", "key"), "line-keys")
-    sets = materialize(whole.select("key", "n", "bits", "at"), "sets")
+    sets = materialize(whole.select("key", "n", "at"), "sets")
     discard(full)
     release(spark)
 
     # 2. Sets that may have a partner. Each set is listed under its rarest words.
-    listed = whole.select("key", "bits", "n", F.posexplode("prefix").alias("pos", "word")).select(
-        "word", "key", "bits", (F.col("n").cast("long") * (1 << 32) + F.col("n") - F.col("pos")).alias("size"))
+    listed = whole.select("key", "bits", "odd", "n", F.posexplode("prefix").alias("pos", "word")).select(
+        "word", "key", "bits", "odd", (F.col("n").cast("long") * (1 << 32) + F.col("n") - F.col("pos")).alias("size"))
 
     def n_of(side: str) -> Column:
         return F.shiftright(F.col(f"{side}.size"), 32)
@@ -103,8 +108,10 @@ def similar_lines(documents: DataFrame) -> DataFrame:
         return F.col(f"{side}.size").bitwiseAND(F.lit((1 << 32) - 1))
 
     nx, ny = n_of("x"), n_of("y")
+    second = F.col("x.odd").bitwiseXOR(F.col("y.odd"))
+    apart = F.bit_count(second) + F.bit_count(second.bitwiseXOR(F.col("x.bits")).bitwiseXOR(F.col("y.bits")))
     close = ((F.col("x.word") == F.col("y.word")) & (F.col("x.key") != F.col("y.key"))
-             & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) * (p + q) <= (q - p) * (nx + ny))
+             & (apart * (p + q) <= (q - p) * (nx + ny))
              & (nx * p <= ny * q) & (ny * p <= nx * q) & (F.least(left_of("x"), left_of("y")) * (p + q) >= p * (nx + ny)))
     partners = listed.alias("x").join(listed.alias("y"), close, "left_semi").select("key").distinct()
     chosen = materialize(sets.join(partners, "key", "left_semi"), "line-candidates")
@@ -115,7 +122,7 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     bitmap = membership(chosen.select(_place(F.col("at.doc"), F.col("at.line")).alias("key")))
     again = _ordered(lines.where(may_contain(bitmap, _place(F.col("doc_id"), F.col("line_no")))), rarity)
     again = again.select(F.xxhash64("words").alias("key"), "words").dropDuplicates(["key"])
-    chosen = materialize(chosen.drop("bits").join(again.withColumns(_wide_parity(words)), "key"), "line-words")
+    chosen = materialize(chosen.join(again.withColumns(_wide_parity(words)), "key"), "line-words")
     release(spark)
     listed = chosen.select("key", "n", *WIDE, "at", F.posexplode(F.slice("words", 1, _prefix(F.col("n"), F.ceil(F.col("n") * p / q)))).alias("pos", "word"))
     listed = materialize(listed, "line-lists")
@@ -137,13 +144,19 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     lead = listed.groupBy("word").agg(F.min(F.struct("at", F.col("key").alias("other"), F.col("n").alias("m"), *other_bits)).alias("lead")).select("word", "lead.*")
     pairs = listed.drop("at").join(lead.drop("at"), "word").where(F.col("key") != F.col("other")).where(bound & sizes).select("key", "other")
     gone = materialize(verified(pairs), "line-first")
+    release(spark)
 
-    # 4. The rest against every earlier candidate.
-    open_ = listed.join(gone, "key", "left_anti")
-    rest = open_.select("word", "key", "n", *WIDE, "at", "pos").join(
-        listed.select("word", F.col("key").alias("other"), F.col("n").alias("m"), *other_bits, F.col("at").alias("before"), F.col("pos").alias("pos2")), "word")
-    rest = rest.where((F.col("before") < F.col("at")) & sizes & bound
-                      & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) * (p + q) >= p * both)).select("key", "other")
+    # 4. The rest against every earlier candidate. Both sides are the same lists, shuffled once: which keys are open is
+    # asked in the join, beside a comparison of both sides, so that it isn't moved below the shuffle of one of them.
+    open_ = membership(chosen.select("key").join(gone, "key", "left_anti").select(F.xxhash64("key").alias("key")))
+    x, y = listed.alias("x"), listed.alias("y")
+    nx, ny = F.col("x.n"), F.col("y.n")
+    differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in WIDE), F.lit(0))
+    rest = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("y.at") < F.col("x.at")) & (nx * p <= ny * q) & (ny * p <= nx * q)
+                  & (differ * (p + q) <= (q - p) * (nx + ny))
+                  & (F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) * (p + q) >= p * (nx + ny))
+                  & (may_contain(open_, F.xxhash64("x.key")) | (F.col("x.key") == F.col("y.key"))))
+    rest = rest.select(F.col("x.key").alias("key"), F.col("y.key").alias("other"))
     gone = materialize(gone.unionByName(verified(rest)), "line-second")
     release(spark)
 
