@@ -114,14 +114,18 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
     linked = with_next(rows)
     following = materialize(linked.join(rows.select(F.col("at").alias("next_at"), F.col("key").alias("next_key")), "next_at").select("key", "next_key", "n"), "next")
 
-    # Each text moves once, by its key; only the heads that edits take move again.
+    # Texts move by their key, once to cut the heads that edits take, once to be edited; the first shuffle is freed before
+    # the second.
     heads = base.join(following.select(F.col("next_key").alias("key"), F.col("key").alias("of"), "n"), "key")
     heads = heads.select("of", F.expr("substring(text, 1, cast(n div 3 as int))").alias("head")).dropDuplicates(["of"])
+    heads = materialize(heads, "heads")
+    release(base.sparkSession)
     edited = base.join(heads.withColumnRenamed("of", "key"), "key").withColumn(
         "edited", F.concat(F.expr("substring(text, 1, cast(length(text) - length(text) div 3 as int))"), F.col("head")))
     printed = with_prints(edited.select("doc_id", "key", F.length("text").cast("long").alias("n_chars"), "text", "edited"), ["text", "edited"], known)
     printed = printed.select("doc_id", "key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.get("prints", 0).alias("own"), F.get("prints", 1).alias("changed"))
     printed = materialize(printed, "prints")
+    discard(heads)
     others = printed.select(F.col("key").alias("next_key"), F.col("own").alias("other")).dropDuplicates(["next_key"])
     whole = printed.join(following.select("key", "next_key"), "key").join(others, "next_key")
     return whole.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
