@@ -205,6 +205,26 @@ def test_suffix(docs, none):
     assert suffix.remove_repeats(none).count() == 0
 
 
+def test_suffix_of_texts_shorter_than_two_windows(spark):
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for shared in [*range(330, 400, 3), 399, 400, 401, 430]:
+        passage = letters(shared)
+        for _ in range(2):
+            size = rng.randint(max(400, shared), 479)
+            before = rng.randint(0, size - shared)
+            rows.append((len(rows), letters(before) + passage + letters(size - shared - before)))
+    rows += [rows[0], (len(rows), rows[3][1]), (len(rows) + 1, rows[5][1][:410])]
+    seen = Counter(t[p:p + 400] for _, t in rows for p in range(len(t) - 399))
+    want = []
+    for i, t in rows:
+        gone = {k for p in range(len(t) - 399) if seen[t[p:p + 400]] > 1 for k in range(p, p + 400)}
+        want.append((i, "".join(c for k, c in enumerate(t) if k not in gone)))
+    out = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    same([(r["doc_id"], bytes(r["kept"]).decode()) for r in out], want)
+
+
 def test_lines(docs, none):
     rows = sorted({(i is None, i or 0, t) for i, t in pairs(docs)})
     sets, want = [], {}

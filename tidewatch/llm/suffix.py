@@ -123,18 +123,22 @@ def _open_classes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Names of the windows around the listed positions of a text."""
+    """Names of the windows around the listed positions of a text, each window once with all its positions: in a text
+    shorter than `length` + WINDOW several positions have the same one."""
     roll = RollingHash()
     for batch in batches:
         for key, raw, chosen in zip(batch.column("key").to_pylist(), batch.column("raw"), batch.column("chosen")):
             text = Text(raw.as_py(), roll)
-            at = np.array(chosen.as_py(), np.int64)
+            at = np.sort(np.array(chosen.as_py(), np.int64))
             low, high = np.maximum(at - WINDOW + 1, 0), np.minimum(at + length, len(text.data))
             wide = high - low >= length
             at, low, high = at[wide], low[wide], high[wide]
+            new = np.flatnonzero(np.diff(low, prepend=-1) | np.diff(high, prepend=-1))
+            shared = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)).astype(np.int32)), pa.array(at.astype(np.int32)))
+            low, high = low[new], high[new]
             names = roll.ranges(text.prefix, low, high)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key, np.int64)), *(pa.array(x.astype(np.int32)) for x in (at, low, high - length)),
-                                              pa.array(names.view(np.int64))], names=["key", "at", "low", "high", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), key, np.int64)), shared, *(pa.array(x.astype(np.int32)) for x in (low, high - length)),
+                                              pa.array(names.view(np.int64))], names=["key", "ats", "low", "high", "name"])
 
 
 def _candidate_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -193,11 +197,11 @@ def repeated_starts(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         bitmap = membership(listed.select("key"))
         return texts.where(may_contain(bitmap, F.col("key"))).join(listed, "key").select("key", "raw", "chosen")
 
-    windows = in_texts(chosen).mapInArrow(lambda b: _window_rows(b, length), "key long, at int, low int, high int, name long")
+    windows = in_texts(chosen).mapInArrow(lambda b: _window_rows(b, length), "key long, ats array<int>, low int, high int, name long")
     windows = materialize(windows, "windows")
     release(spark)
-    alike = materialize(windows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one")), "window-kinds")
-    single = alike.groupBy("one.key").agg(F.collect_set("one.at").alias("chosen"))
+    alike = materialize(windows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "ats")).alias("one")), "window-kinds")
+    single = alike.select("one.key", F.explode("one.ats").alias("at")).groupBy("key").agg(F.collect_set("at").alias("chosen"))
     candidates = materialize(in_texts(single).mapInArrow(lambda b: _candidate_rows(b, length), "key long, at int, name long"), "candidates")
     release(spark)
     doubled = windows.join(alike.where("n > 1").select("name"), "name", "left_semi").select("key", F.explode(F.array("low", "high")).alias("at"))
