@@ -243,6 +243,27 @@ def test_lines(docs, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_lines_of_rows_with_null_and_equal_ids(spark):
+    rng = random.Random(7)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(9))
+    again, pair = line(), line()
+    rows = [(i, "\n".join([line(), line()])) for i in (None, None, None, 5, 5, 5, (1 << 63) - 1)]
+    rows += [(None, "\n".join([again, line(), again])), (None, "\n".join([line(), line(), line()]))]
+    rows += [(i, f"{pair}\n{line()}") for i in (None, None, 8, 8)] + [(8, None), (None, None), (None, "")]
+    rows += [rows[0], rows[3]]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(out) == len(rows)
+    left = Counter((r["doc_id"], r["text"]) for r in out)
+    whole = [r for r in rows if again not in (r[1] or "") and pair not in (r[1] or "")]
+    assert all(left[r] == n for r, n in Counter(whole).items())
+    [short] = [t for i, t in left if again in (t or "")]
+    assert short.split("\n") == rows[7][1].split("\n")[:2]
+    [(keeper, n)] = [(r, n) for r, n in left.items() if pair in (r[1] or "")]
+    assert keeper[0] == 8 and n == 1
+    ends = Counter((i, t.split("\n")[1]) for i, t in rows[9:13])
+    assert Counter((i, t.split("\n")[-1]) for i, t in left if (i, (t or "").split("\n")[-1]) in ends) == ends
+
+
 def test_packing(docs, none):
     placed = packing.pack(docs, capacity=300, per_source=2).collect()
     words = Counter()

@@ -5,7 +5,7 @@ among their rarest ones (prefix filter), differ little in size (length filter),
 words are left after the shared one (positional filter). A parity bitmap of each set bounds the number of words that
 only one of two sets has, and rejects nearly all other pairs inside the join.
 
-A line goes if any earlier line (by document, then line number) is similar. That asks for one witness, not for all pairs:
+A line goes if any earlier line (by document, its text's hash, then line number) is similar. That asks for one witness, not for all pairs:
 1. equal sets are collapsed, combined before the shuffle;
 2. two semi-joins by rare word find the sets that may have a partner at all; only these are looked at again;
 3. every such set is verified against the earliest set of each of its words, which settles most of a large group;
@@ -33,14 +33,18 @@ def _prefix(n: Column, overlap: Column) -> Column:
     return (n - overlap + 1).cast("int")
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """One row for each line with a word: doc_id, line_no, line. Equal rows give equal lines."""
-    return (documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
-            .where(F.col("line").rlike(r"[^\x20\x09-\x0D]")))
+def _row_name(doc: Column, text: Column) -> Column:
+    """Name of a row by its id and text. Names of rows without an id sort after all others."""
+    name = F.xxhash64(doc, doc.isNull(), text)
+    return F.when(doc.isNull(), name.bitwiseAND(F.lit(LAST))).otherwise(name.bitwiseOR(F.lit(-LAST - 1)))
 
 
-def _place(doc: Column, line: Column) -> Column:
-    return F.xxhash64(F.coalesce(doc, F.lit(LAST)), line)
+def _lines(documents: DataFrame) -> DataFrame:
+    """One row for each line with a word: doc, name (of the row), line_no, line. Equal rows give equal lines."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    named = documents.select(F.coalesce(doc, F.lit(LAST)).alias("doc"), _row_name(doc, text).alias("name"), text.alias("text"))
+    return (named.select("doc", "name", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+            .where(F.col("line").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def _ordered(lines: DataFrame, rarity: Column) -> DataFrame:
@@ -75,7 +79,7 @@ def _wide_parity(words: Column) -> dict[str, Column]:
 
 
 def similar_lines(documents: DataFrame) -> DataFrame:
-    """Columns doc_id, line_no: the lines to remove from `documents` (doc_id, text), each once."""
+    """Columns name (see `_row_name`), line_no: the lines to remove from `documents` (doc_id, text), each once."""
     p, q = SIMILARITY
     spark = documents.sparkSession
     lines = _lines(documents)
@@ -88,11 +92,11 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     # 1. Sets, and the earliest line of each.
     words = F.col("words")
     full = materialize(_ordered(lines, rarity).select(
-        "doc_id", "line_no", F.xxhash64(words).alias("key"), F.size(words).alias("n"), _parity(words).alias("bits"), _parity(_odd(words)).alias("odd"),
+        "doc", "name", "line_no", F.xxhash64(words).alias("key"), F.size(words).alias("n"), _parity(words).alias("bits"), _parity(_odd(words)).alias("odd"),
         F.slice(words, 1, _prefix(F.size(words), F.ceil(F.size(words) * p / q))).alias("prefix")), "lines")
-    at = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("line_no").alias("line"))
+    at = F.struct("doc", "name", F.col("line_no").alias("line"))
     whole = materialize(full.groupBy("key").agg(F.min(F.struct(at.alias("at"), "n", "bits", "odd", "prefix")).alias("first")).select("key", "first.*"), "line-sets")
-    keyed = materialize(full.select("doc_id", "line_no", "key"), "line-keys")
+    keyed = materialize(full.select("name", "line_no", "key"), "line-keys")
     sets = materialize(whole.select("key", "n", "at"), "sets")
     discard(full)
     release(spark)
@@ -119,8 +123,8 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     release(spark)
 
     # Their words, read again from the lines that stand for them.
-    bitmap = membership(chosen.select(_place(F.col("at.doc"), F.col("at.line")).alias("key")))
-    again = _ordered(lines.where(may_contain(bitmap, _place(F.col("doc_id"), F.col("line_no")))), rarity)
+    bitmap = membership(chosen.select(F.xxhash64("at.name", "at.line").alias("key")))
+    again = _ordered(lines.where(may_contain(bitmap, F.xxhash64("name", "line_no"))), rarity)
     again = again.select(F.xxhash64("words").alias("key"), "words").dropDuplicates(["key"])
     chosen = materialize(chosen.join(again.withColumns(_wide_parity(words)), "key"), "line-words")
     release(spark)
@@ -162,27 +166,26 @@ def similar_lines(documents: DataFrame) -> DataFrame:
 
     # Every line of a similar set goes, of the other sets every line but the earliest.
     first_place = sets.select(F.col("key"), F.col("at").alias("kept_at")).join(gone, "key", "left_anti")
-    kept = first_place.select("key", F.col("kept_at.doc").alias("doc"), F.col("kept_at.line").alias("line"))
-    removed = keyed.alias("l").join(kept.alias("k"), (F.col("l.key") == F.col("k.key")) & (F.coalesce(F.col("l.doc_id"), F.lit(LAST)) == F.col("k.doc"))
+    kept = first_place.select("key", F.col("kept_at.name").alias("name"), F.col("kept_at.line").alias("line"))
+    removed = keyed.alias("l").join(kept.alias("k"), (F.col("l.key") == F.col("k.key")) & (F.col("l.name") == F.col("k.name"))
                                     & (F.col("l.line_no") == F.col("k.line")), "left_anti")
-    return removed.select("doc_id", "line_no").distinct()
+    return removed.select("name", "line_no").distinct()
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """`documents` with its own columns, texts without the lines that are similar to an earlier line.
 
-    Lines are ordered by doc_id (null last), then line number. Lines without a word are never compared and stay. A null
-    text stays null; a text whose lines all go becomes empty. Rows with one doc_id count as one document: a line number
-    that goes, goes in all of them, so repeated rows stay equal. Extra columns are kept as they are, an empty table
-    gives an empty result.
+    Lines are ordered by doc_id (null last), then by a hash of the text (for different texts of one id), then line number.
+    Lines without a word are never compared and stay. A null text stays null; a text whose lines all go becomes empty.
+    Rows with equal doc_id and text count as one document, so repeated rows stay equal. Extra columns are kept as they
+    are, an empty table gives an empty result.
     """
     removed = similar_lines(documents)
-    by_doc = materialize(removed.groupBy("doc_id").agg(F.collect_list("line_no").alias("gone_lines")), "gone")
-    doc = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    touched = may_contain(membership(by_doc.select(F.xxhash64(F.coalesce("doc_id", F.lit(LAST))).alias("key"))), doc)
+    gone = materialize(removed.groupBy("name").agg(F.collect_list("line_no").alias("gone_lines")), "gone").withColumnRenamed("name", "gone_name")
+    name = _row_name(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    touched = may_contain(membership(gone.select(F.xxhash64("gone_name").alias("key"))), F.xxhash64(name))
     columns = [c for c in documents.columns]
-    gone = by_doc.withColumnRenamed("doc_id", "gone_id")
-    joined = documents.where(touched).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left")
+    joined = documents.where(touched).join(gone, name == F.col("gone_name"), "left")
     pieces = F.split(F.col("text").cast("string"), "\n", -1)
     keep = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("gone_lines"))
     text = F.when(F.col("gone_lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(
