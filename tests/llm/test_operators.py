@@ -120,6 +120,20 @@ def test_html():
         html_text.text_of(html_text.parse(broken), frozenset())
 
 
+@pytest.mark.parametrize("page", [
+    '<body class="no-sidebar"><p>Long text</p></body>',
+    '<html id="header"><body class="custom-header sidebar"><p>Long text</p></body></html>',
+    '<body><article class="post has-comments"><p>Long text</p></article></body>',
+    '<body><div id="header-and-content"><p>Long text</p></div></body>',
+    '<body><div class="banner"><div role="banner"><article class="related"><p>Long text</p></article></div></div></body>',
+    '<body><main id="header"><div class="sidebar"><article>Long text<div class="comments"><article>Reply</article></div></article></div></main></body>',
+    '<body><article>Long text</article><div id="comments"><article class="comment even">Reply</article></div></body>',
+    '<body><div class="widget"><main><p>Long text</p><div class="x share">Send</div><p id="nav_menu">Home</p></main></div></body>',
+])
+def test_html_names_do_not_hide_articles(page):
+    assert html_text.text_of(html_text.parse(page), frozenset()) == "Long text"
+
+
 def test_html_templates(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div><p>Site claim</p></div><div><p>Text {i}</p><p>More {i}</p></div></body>") for i in range(30)]
     rows += [(100, None, None), (101, "nohost", ""), (102, "http://other.example/", "<div><p>Site claim</p></div>"), (0, *rows[0][1:])]

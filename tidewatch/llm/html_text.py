@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pandas as pd
@@ -25,10 +26,12 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s",
           "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 DROPPED = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "audio", "video", "object", "canvas"} | RAW_TAGS
-#: In class or id, as words of their own.
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|newsletter|subscribe|popup|modal|"
+#: A name in class, id or role that is made of such words only.
+BOILERPLATE = re.compile(r"(?:(?:ads?|advert[a-z0-9]*|banner|sponsor[a-z0-9]*|promo[a-z0-9]*|cookies?|consent|gdpr|notices?|newsletter|subscribe|popup|modal|"
                          r"nav|navigation|navbar|menu|breadcrumbs?|sidebar|footer|header|masthead|comments?|disqus|replies|respond|"
-                         r"related|share|sharing|social|widget|toolbar)(?:$|[\s_-])", re.I)
+                         r"related|share|sharing|social|widget|toolbar)(?:[_-]+|$))+", re.I)
+COMMENT = re.compile(r"(?:^|\s)comment(?:$|[\s_-])", re.I)
+KEPT = {"html", "body", "main", "article"}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WHITE = re.compile(r"\s+")
 #: An open element of the first kind ends where one of the others begins.
@@ -38,6 +41,11 @@ ENDED_BY = {"p": {"p", "div", "ul", "ol", "table", "article", "section", "h1", "
 PAGE_SHARE, PAGE_LEAST = 0.5, 10
 
 
+@lru_cache(1 << 14)
+def is_boilerplate(names: str) -> bool:
+    return any(BOILERPLATE.fullmatch(name) for name in names.split())
+
+
 class Element:
     __slots__ = ("tag", "dropped", "parts", "key")
 
@@ -45,6 +53,18 @@ class Element:
         self.tag, self.dropped, self.parts, self.key = tag, dropped, [], 0
 
 
+def keep_above(open_: list[Element]) -> None:
+    """An article or main element begins: what is around it isn't boilerplate by its name. Not if an article is around it,
+    which is kept as a whole, or a kind of element that is always dropped."""
+    for k in range(len(open_) - 1, -1, -1):
+        if open_[k].tag == "article" or open_[k].tag in DROPPED:
+            return
+        if open_[k].tag == "main":
+            break
+    for e in open_[k:]:
+        e.dropped = False
+
+
 def parse(page: str) -> Element:
     """Tree of a page; unclosed, misnested and truncated markup is closed where HTML would."""
     root = Element("")
@@ -80,7 +100,9 @@ def parse(page: str) -> Element:
                     if open_[k].tag not in INLINE and open_[k].tag != "p":
                         break
         names = " ".join(a or b or c for a, b, c in NAMES.findall(m[3])) if "=" in m[3] else ""
-        element = Element(tag, tag in DROPPED or bool(names and BOILERPLATE.search(names)))
+        element = Element(tag, tag in DROPPED or tag not in KEPT and is_boilerplate(names))
+        if tag == "main" or tag == "article" and not COMMENT.search(names):
+            keep_above(open_)
         open_[-1].parts.append(element)
         if tag in RAW_TAGS:
             end = next((e for e in RAW.finditer(page, at) if e[1].lower() == tag), None)
