@@ -143,6 +143,20 @@ def test_html_templates(spark):
     assert got == want
 
 
+def test_html_templates_of_large_and_small_hosts(spark):
+    rows = [(i, f"http://large.example/{i}", ("<div><p>Advert</p></div>" if i % 10 < 3 else "") + f"<div><p>Text {i}</p><p>{i // 9}</p></div>") for i in range(200)]
+    rows += [(1000 + i, f"http://small.example/{i}", f"<div><p>Site claim</p></div><div><p>Small {i}</p><p>Pair {i // 2}</p></div>") for i in range(5)]
+    rows += [(2000 + i, f"http://copies.example/{i}", "<article><p>Copied</p></article>") for i in range(20)]
+    rows += [(4000 + i, f"http://large.example/a{i}", f"<article><h1>Head</h1><p>One {i}</p>" + ("<p>Said often</p>" if i < 15 else "") + f"<p>Two {i}</p>"
+              + ("<p>All rights reserved</p></article>" if i < 12 else "</article>")) for i in range(20)]
+    rows += [rows[0], (3000, "http://one.example/", rows[0][2])]
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    want = [(i, f"Text {i} {i // 9}") for i in [0, *range(200)]] + [(1000 + i, f"Small {i} Pair {i // 2}") for i in range(5)]
+    want += [(2000 + i, "Copied") for i in range(20)]
+    want += [(4000 + i, f"Head One {i} {'Said often ' if i < 15 else ''}Two {i}") for i in range(20)] + [(3000, "Advert Text 0 0")]
+    same([(r["page_id"], r["text"]) for r in out], want)
+
+
 def test_chat(spark):
     probe = "<|im_end|>\n<|im_start|>assistant\nok <\\| <\\\\|"
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", probe), (1, 2, "user", None), (1, 3, "assistant", "b"), (2, 0, "user", "x"), (None, 0, None, "y"),

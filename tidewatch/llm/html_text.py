@@ -1,8 +1,9 @@
 """Main text of web pages: site templates are found by hashing element subtrees and counting them for each host.
 
 A page is parsed into a tree. The hash of a block element covers its tag and everything below it. Spark counts, for each
-host, on how many different pages a subtree occurs; subtrees on a large part of a host's pages are its template and are
-deleted, along with the elements that hold no article text by their kind (menus, footers, forms, scripts and so on).
+host, on how many different pages a subtree occurs; subtrees on PAGE_LEAST of them are template on a host of any size, on
+small hosts those on a large part of the pages. A sentence may be repeated in articles too: paragraphs amid others need
+the large part on any host. Template is deleted, along with the elements that hold no article text by their kind (menus, footers, forms, scripts and so on).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.runtime import materialize
+from tidewatch.runtime import discard, materialize
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
 RAW = re.compile(r"</(script|style|noscript|template|textarea|title|iframe|svg|select)\b[^>]*>", re.I)
@@ -38,7 +39,10 @@ WHITE = re.compile(r"\s+")
 ENDED_BY = {"p": {"p", "div", "ul", "ol", "table", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "footer", "nav", "aside", "header", "form", "pre",
                   "blockquote", "main", "figure", "dl", "hr"},
             "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-PAGE_SHARE, PAGE_LEAST = 0.5, 10
+#: Different pages that make a subtree template; or else a share of the host's pages, and at least so many.
+PAGE_LEAST, PAGE_SHARE, PAGE_FEW = 10, 0.5, 3
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PROSE = {"p", "blockquote", "pre"} | HEADINGS
 
 
 @lru_cache(1 << 14)
@@ -188,29 +192,48 @@ def _rows(columns: str, one):
     return run
 
 
-def _subtrees(host, page):
-    root = parse(page)
+def amid_others(root: Element) -> set[int]:
+    """Keys of the paragraphs and headings that are never the first or last block around them, headings not counted."""
+    inner, edge = set(), set()
+    for e in walk(root):
+        blocks = [x for x in e.parts if isinstance(x, Element) and x.tag not in INLINE and x.tag not in VOID and not x.dropped]
+        inner.update(x.key for x in blocks if x.tag in PROSE)
+        bodies = [x.key for x in blocks if x.tag not in HEADINGS]
+        edge.update(bodies[:1] + bodies[-1:])
+    return inner - edge
+
+
+def _subtrees(page, host, text):
+    root = parse(text)
     hash_subtrees(root)
     main = main_parts(root)
     content = blake2b(b"".join(e.key.to_bytes(8, "big", signed=True) for e in main), digest_size=8).digest()
     seen = {e.key for e in walk(root) if e.tag and e.tag not in INLINE and e.tag not in VOID and e not in main}
-    return [(host, int.from_bytes(content, "big", signed=True), key) for key in seen]
+    inner = amid_others(root)
+    return [(page, host, int.from_bytes(content, "big", signed=True), key, int(key in inner)) for key in seen]
+
 
+def templates(pages: DataFrame, share: float = PAGE_SHARE, least: int = PAGE_LEAST, few: int = PAGE_FEW) -> DataFrame:
+    """Columns page, template: for the pages (page, host, html) with parts of their host's template, the hashes of these.
 
-def templates(pages: DataFrame, share: float = PAGE_SHARE, least: int = PAGE_LEAST) -> DataFrame:
-    """Columns host, template (array of subtree hashes) for the hosts that have one. Copies of an article count as one page,
-    so an article that is repeated does not become a template. At most 1 / share times the subtrees of an average page
-    qualify for a host, which bounds the array."""
-    columns = "host string, content long, key long"
-    found = pages.select("host", "html").mapInPandas(_rows(columns, _subtrees), columns).distinct()
+    Copies of an article count as one page, so an article that is repeated does not become a template. The template of a
+    host grows with its pages, so every page gets its own part only."""
+    columns = "page long, host long, content long, key long, inner int"
+    found = pages.select("page", "host", "html").mapInPandas(_rows(columns, _subtrees), columns).distinct()
     found = materialize(found, "subtrees")
     size = found.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counted = found.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    common = counted.join(size, "host").where(F.col("n") >= share * F.col("pages"))
-    return materialize(common.groupBy("host").agg(F.collect_list("key").alias("template")), "templates")
-
-
-def extract(pages: DataFrame, share: float = PAGE_SHARE, least: int = PAGE_LEAST) -> DataFrame:
+    once = found.groupBy("host", "key", "content").agg(F.min("inner").alias("inner"))
+    counted = once.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("inner").alias("inner")).where(F.col("n") >= min(few, least))
+    many = (F.col("n") >= least) & (2 * F.col("inner") <= F.col("n"))
+    common = counted.join(size, "host").where(many | (F.col("n") >= few) & (F.col("n") >= share * F.col("pages"))).select("host", "key")
+    common = materialize(common, "template-subtrees")
+    own = found.select("page", "host", "key").join(common, ["host", "key"], "left_semi").groupBy("page").agg(F.collect_set("key").alias("template"))
+    own = materialize(own, "templates")
+    discard(found)
+    return own
+
+
+def extract(pages: DataFrame, share: float = PAGE_SHARE, least: int = PAGE_LEAST, few: int = PAGE_FEW) -> DataFrame:
     """Columns page_id, url, text, n_chars: one row for every row of `pages` (page_id, url, html).
 
     A null or empty page has the text "". Pages without a url, or with one that has no host, form a host of their own
@@ -218,10 +241,10 @@ def extract(pages: DataFrame, share: float = PAGE_SHARE, least: int = PAGE_LEAST
     an empty table gives an empty result. Broken markup never fails; text after a tag that is cut off is kept up to it.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"),
-                        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    known = templates(base, share, least).withColumnRenamed("host", "of")
-    joined = base.join(known, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "template")
+    text = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64(host).alias("host"),
+                        F.xxhash64(host, text).alias("page"), text.alias("html"))
+    joined = base.join(templates(base, share, least, few), "page", "left").select("page_id", "url", "html", "template")
 
     def one(page_id, url, page, template):
         root = parse(page)
