@@ -1,12 +1,12 @@
-"""Removal of repeated substrings by distributed prefix doubling over sampled suffixes.
+"""Removal of repeated substrings by names of byte ranges after sampled positions.
 
 Sampled positions depend on nearby bytes only: an anchor has the least hash of 16 bytes in some window of WINDOW
 positions, and the position WINDOW bytes before it is ranked. Both occurrences of a repeated string of `length` bytes have
 the same anchors in their inner part, so the first ranked position in them is the same and has `length` - WINDOW bytes of
-the string ahead. Spark sorts ranked positions by rank pairs at growing offsets: by the rank of the first half of these
-bytes, then by the pair of halves, then by the pair and the rank of what follows up to `length` bytes. Positions
-whose rank is unique leave at each step. Ranks are 64-bit names of the bytes (only equality matters), counted with
-partial sums, so a passage in very many texts is no hot key.
+the string ahead. This is not prefix doubling: each task names three fixed ranges by rolling hashes, the two halves of
+these bytes and what follows up to `length` bytes, and nothing is sorted or ranked again. Spark counts the names of the
+first half, then of both halves, then of all three; positions whose names are unique leave at each step. Ranks are
+64-bit names of the bytes (only equality matters), counted with partial sums, so a passage in very many texts is no hot key.
 
 Positions that repeat over the whole length are marked for sure. Of those that repeat over the shorter length, the ones
 whose surroundings are not wholly marked name the classes that are still open. The window around each position of an open
