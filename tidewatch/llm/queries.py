@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, html_text, imatch, lines, mixing, packing, repetition, secrets, simhash, suffix
+from tidewatch.llm import bpe, chat, html_text, imatch, lines, mixing, packing, repetition, secrets, simhash, suffix
 from tidewatch.llm.common import table
 
 
@@ -57,6 +58,13 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op11_bpe_round_trip(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    lexicon = bpe.build_lexicon(documents, vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+    decoded = bpe.decode(bpe.encode(documents, lexicon), lexicon)
+    return decoded.select("doc.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -68,4 +76,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_bpe_round_trip": op11_bpe_round_trip,
 }
