@@ -57,3 +57,33 @@ select s.doc_id, case when s.text is null then null else coalesce(j.text, '') en
   (case when s.text is null then null else length(coalesce(j.text, '')) end)::bigint as n_kept_chars
 from split s left join joined j on s.doc_id = j.doc_id
 """
+
+TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op13_ranked_search"] = f"""
+with docs as (
+  select row_number() over () as row_no, doc_id, regexp_extract_all({LOWER.format("text")}, '{TERM}') as terms from documents
+), counted as (
+  select row_no, doc_id, terms, len(terms) as n from docs where len(terms) > 0
+), corpus as (
+  select count(*) as n_docs, sum(n)::bigint as n_terms from counted
+), tf as (
+  select row_no, term, count(*) as tf from (select row_no, unnest(terms) as term from counted) group by row_no, term
+), asked as (
+  select row_number() over () as query, item_id, regexp_extract_all({LOWER.format("text")}, '{TERM}') as terms from benchmark
+), wanted as (
+  select query, term, count(*) as times from (select query, unnest(terms) as term from asked) group by query, term
+), df as (
+  select term, count(*) as df from tf where term in (select term from wanted) group by term
+), weights as (
+  select term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::bigint as w from df, corpus
+), scores as (
+  select wanted.query, tf.row_no, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint as score
+  from wanted join weights using (term) join tf using (term) join counted using (row_no), corpus group by wanted.query, tf.row_no
+), placed as (
+  select query, doc_id, score, row_number() over (partition by query order by score desc, doc_id nulls last) as rank
+  from scores join docs using (row_no) where score > 0
+)
+select item_id, rank::int as rank, doc_id, score from placed join asked using (query) where rank <= 20
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, html_text, imatch, lines, mixing, packing, repetition, secrets, simhash, suffix
+from tidewatch.llm import bpe, chat, html_text, imatch, lines, mixing, packing, periodic, repetition, search, secrets, simhash, suffix
 from tidewatch.llm.common import table
 
 
@@ -65,6 +65,16 @@ def op11_bpe_round_trip(spark: SparkSession, folder: str, vocabulary: str | None
     return decoded.select("doc.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return periodic.run_digest(periodic.periodic_runs(documents, F.crc32(F.col("doc_id").cast("string").cast("binary"))))
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return search.search(search.build_index(documents), documents, table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -77,4 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_bpe_round_trip": op11_bpe_round_trip,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_ranked_search": op13_ranked_search,
 }
