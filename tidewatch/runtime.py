@@ -16,6 +16,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names directly below a folder; none if there is no such folder."""
+    if not path_exists(spark, folder):
+        return []
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return [f.getPath().getName() for f in found]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -53,5 +67,4 @@ def discard(df: DataFrame) -> None:
     for path in paths:
         if root.split(":", 1)[-1].lstrip("/") not in path:
             raise ValueError(f"not a table of this session's work folder: {path}")
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete_path(spark, path)

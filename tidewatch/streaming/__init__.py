@@ -1,5 +1,5 @@
 """Structured Streaming jobs on the same operators as the batch audit."""
 
-from .live import LiveScorer, live_daily, live_signals
+from .live import LiveScorer, live_daily, live_tracks
 
-__all__ = ["LiveScorer", "live_daily", "live_signals"]
+__all__ = ["LiveScorer", "live_daily", "live_tracks"]
