@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..config import DEFAULT, AuditConfig
 from ..functions import present
 from ..models.detector import Detector
-from ..operators.daily import DAY_KEYS, KEYS, with_calendar
+from ..operators.daily import KEYS, with_calendar
 from ..operators.signals import add_seasonal, usable_days
 from ..runtime import delete_path, discard, list_names, materialize, path_exists
 
