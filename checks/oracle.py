@@ -300,7 +300,7 @@ LABEL_AUC = r("""(select sum(case when a.b > b.b then 1.0 when a.b = b.b then 0.
 put(LABELED,
     usable_labels="select label, artist, title from labeled where label in ('bot', 'legit')",
     label_result_join="""select lab.label, lab.artist, lab.title, t.flagged_days, t.bot_pct from lab
-  left join (select * from tracks where bot_pct < 60) t using (artist, title)""")
+  left join (select * replace (case when length(title) % 5 = 0 then concat(title, ' (remastered)') else title end as title) from tracks) t using (artist, title)""")
 put(LABELED + CONFUSION,
     confusion_metrics="select * from met",
     label_score=f"select *, {LABEL_AUC} as roc_auc_bot_pct from met")
@@ -311,7 +311,7 @@ put(TOTALS,
     assign_genre="""select artist, category as genre_category, category as genres from (
   select t.artist, coalesce(case min(pr) when 2 then 'Country' when 4 then 'R&B / Soul' when 6 then 'Pop' when 7 then 'Jazz' end, 'Other') as category
   from totals t left join (select p_brand as name, case p_size % 4 when 0 then 6 when 1 then 2 when 2 then 4 else 7 end as pr
-                           from part where p_retailprice > 1000) l on l.name = t.artist group by t.artist)""")
+                           from part) l on l.name = t.artist group by t.artist)""")
 put(SCORED + "," + death("scored"),
     death_spike_adjust="select artist, conf1 as confidence, note1 as note from death")
 put(SCORED + "," + death("scored") + "," + holiday(0.2),
@@ -368,6 +368,11 @@ auc as (select {r('''(select sum(case when a.{score} > b.{score} then 1.0 when a
    / nullif((select count(*) from pos) * (select count(*) from rk where name not in (select name from docs)), 0)''', 3)} as roc_auc)"""
 
 
+REPORT_LISTS = """'Chart data 2017-2021 vs purges ~2025; directional only.' as caveat,
+  coalesce((select string_agg(name, ';' order by name) from docs where name not in (select name from rk)), '') as documented_absent,
+  coalesce((select string_agg(concat_ws('|', name, rank::varchar, printf('%.1f', pct), printf('%.1f', bot_pct), printf('%.1f', confidence)), ';' order by name) from pos), '') as positives"""
+
+
 def eval_metrics(k: int) -> str:
     return (r(f"(select count(*) from pos where rank <= {k}) / least({k}, n)", 3) + f" as precision_at_{k}, "
             + r(f"(select count(*) from pos where rank <= {k}) / (select count(*) from pos)", 3) + f" as recall_at_{k}")
@@ -377,13 +382,15 @@ put(EVAL.replace("{score}", "bot_pct"),
     documented_present="select name as artist from docs where name in (select name from rk)",
     documented_absent="select name as artist from docs where name not in (select name from rk)",
     positives_with_rank="select name as artist, rank, pct as percentile, bot_pct, confidence from pos",
-    evaluate_documented_report=f"""select 'bot_pct' as score_col, n as n_artists, (select count(*) from docs) as documented_verified,
+    evaluate_documented_report=f"""select {REPORT_LISTS}, 'bot_pct' as score_col, n as n_artists, (select count(*) from docs) as documented_verified,
   (select count(*) from pos) as documented_present, {eval_metrics(10)}, {eval_metrics(25)}, {eval_metrics(50)},
   (select list_sort(list(pct))[(count(*) // 2 + 1)::int] from pos) as median_percentile_of_positives,
   (select roc_auc from auc) as roc_auc from (select max(n) as n from rk)""")
 put(EVAL.replace("{score}", "confidence"),
-    evaluate_by_confidence=f"""select n_artists, documented_present, precision_at_10, recall_at_25, roc_auc from (select n as n_artists, (select count(*) from pos) as documented_present,
-  {eval_metrics(10)}, {eval_metrics(25)}, (select roc_auc from auc) as roc_auc from (select max(n) as n from rk))""")
+    evaluate_by_confidence=f"""select {REPORT_LISTS}, 'confidence' as score_col, n as n_artists, (select count(*) from docs) as documented_verified,
+  (select count(*) from pos) as documented_present, {eval_metrics(10)}, {eval_metrics(25)}, {eval_metrics(50)},
+  (select list_sort(list(pct))[(count(*) // 2 + 1)::int] from pos) as median_percentile_of_positives,
+  (select roc_auc from auc) as roc_auc from (select max(n) as n from rk)""")
 put(SESSIONS,
     session_features=f"select session_id, {rounded('completion_rate', 'session_diversity')}, repeat_count, skipped, odd_hour, high_repeat from sf",
     streams_by_hour="select hour_of_day, count(*) as streams from sessions group by hour_of_day",
@@ -422,6 +429,9 @@ ORACLE["collab_split_of_documents"] = r"""select doc_id, len(list_filter(list_tr
 
 CLOSED = "date <= (select max(date) from daily) - 2"
 put(SIG,
+    roc_auc_of_raw_scores="""select round((sum(case when y then place else 0 end) - n1 * (n1 + 1) / 2) / (n1 * (n - n1)), 6) as roc_auc from (
+  select drop_after_spike = 1 as y, rank() over (order by spike_ratio) + (count(*) over (partition by spike_ratio) - 1) / 2 as place from use),
+  (select count(*) as n, count(*) filter (drop_after_spike = 1) as n1 from use) group by n, n1""",
     standardize="select artist, title, date, " + ", ".join(
         f"round(({c} - avg({c}) over ()) / stddev_pop({c}) over (), 6) as z_{c}" for c in (
             "streams", "pct_change", "spike_ratio", "seasonal_spike", "rolling_cv", "drop_after_spike")) + " from use",
@@ -436,6 +446,11 @@ k as (select * from (select *, row_number() over (partition by p order by dist,
 LRD = KNN.replace("{k}", "20") + """,
 kd as (select p, max(dist) as kdist from k group by p),
 lrd as (select k.p, 1.0 / (avg(greatest(kd.kdist, k.dist)) + 1e-10) as lrd from k join kd on kd.p = k.o group by k.p)"""
+PARTS = """e as (select min(p_partkey) as id, v from (select p_partkey, [p_size * 20.0::double, p_retailprice] as v from part) group by v)"""
+FEATURE_KNN, FEATURE_LRD = (PARTS + x[x.index(",\nd as"):] for x in (KNN, LRD))
+put(FEATURE_KNN.replace("{k}", "10"), knn_features="select p as id, rk as rank, o as neighbor, round(dist, 6) as distance from k")
+put(FEATURE_LRD, lof_features="""select k.p as id, round(avg(b.lrd) / any_value(a.lrd), 6) as lof
+  from k join lrd a on a.p = k.p join lrd b on b.p = k.o group by k.p""")
 put(KNN.replace("{k}", "10"), knn_embeddings="select p as id, rk as rank, o as neighbor, round(dist, 6) as distance from k")
 put(LRD, lof_embeddings="""select k.p as id, round(avg(b.lrd) / any_value(a.lrd), 6) as lof
   from k join lrd a on a.p = k.p join lrd b on b.p = k.o group by k.p""")

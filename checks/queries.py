@@ -212,8 +212,10 @@ def artist_genre_join(s, d):
 
 @query
 def label_result_join(s, d):
+    """Every label against all tracks; the tracks of every fifth title have changed their name since."""
     t = tracks(s, d)
-    return labels.join_labels(labels_view(t), t.where(F.col("bot_pct") < 60)).select(
+    renamed = F.when(F.length("title") % 5 == 0, F.concat("title", F.lit(" (remastered)"))).otherwise(F.col("title"))
+    return labels.join_labels(labels_view(t), t.withColumn("title", renamed)).select(
         "label", "artist", "title", "flagged_days", "bot_pct")
 
 
@@ -224,7 +226,7 @@ def assign_genre(s, d):
     size = F.col("p_size") % 4
     listed = part.select(F.col("p_brand").alias("name"),
                          F.when(size == 0, "Pop").when(size == 1, "Country").when(size == 2, "R&B / Soul")
-                         .otherwise("Jazz").alias("category")).where(F.col("p_retailprice") > 1000)
+                         .otherwise("Jazz").alias("category"))
     return genres.assign_genre(artist_totals(s, d).select("artist"), listed)
 
 
@@ -384,6 +386,13 @@ def roc_auc(s, d):
     return ranking.roc_auc(marked, F.col("hot"), F.col("bot_pct"), digits=6)
 
 
+@query
+def roc_auc_of_raw_scores(s, d):
+    """Scores with about as many values as there are days, in ranges of a few thousand."""
+    days = signal_days(s, d)
+    return ranking.roc_auc(days, F.col("drop_after_spike") == 1, F.col("spike_ratio"), digits=6, every=1 << 12)
+
+
 @query
 def scaler_stats(s, d):
     out = scaler.scaler_frame(signals.feature_matrix(signal_days(s, d)), signals.features_for("retrospective"))
@@ -394,8 +403,7 @@ def scaler_stats(s, d):
 def score_quantile(s, d):
     sig = materialize(signal_days(s, d).select("spike_ratio"), "scores")
     probs = [0.01, 0.02, 0.05, 0.5, 0.98]
-    # the narrowing path, as on tables that are too large for one pass
-    found = exact_quantiles(sig, "spike_ratio", probs, one_pass_rows=1000)
+    found = exact_quantiles(sig, "spike_ratio", probs)
     out = s.createDataFrame(list(zip(probs, found)), "probability double, threshold double")
     return round_columns(out, "threshold")
 
@@ -435,7 +443,7 @@ def seasonal_retrospective(s, d):
 @query
 def seasonal_live(s, d):
     # small pieces, so that the split path runs
-    out = signals.add_seasonal(daily(s, d), "live", replace(CFG, prefix_rows=4))
+    out = signals.add_seasonal(daily(s, d), "live", replace(CFG, prefix_rows=1 << 12))
     return round_columns(out.select("artist", "title", "date", "seasonal_spike"), "seasonal_spike")
 
 
@@ -593,15 +601,21 @@ def engineer_signals(s, d):
     return round_columns(out, "rolling_7d_avg", "pct_change", "spike_ratio", "rolling_cv", "seasonal_spike", "weekend_ratio")
 
 
+def flat_report(report: DataFrame) -> DataFrame:
+    """All of a report, its lists as text."""
+    row = F.transform("positives", lambda p: F.concat_ws("|", p["artist"], p["rank"].cast("string"), F.format_string("%.1f", p["percentile"]),
+                                                         F.format_string("%.1f", p["bot_pct"]), F.format_string("%.1f", p["confidence"])))
+    return report.withColumns({"positives": F.array_join(row, ";"), "documented_absent": F.array_join("documented_absent", ";")})
+
+
 @query
 def evaluate_documented_report(s, d):
-    return evaluate_documented(artists(s, d), incidents_view(s, d)).drop("positives", "documented_absent", "caveat")
+    return flat_report(evaluate_documented(artists(s, d), incidents_view(s, d)))
 
 
 @query
 def evaluate_by_confidence(s, d):
-    return evaluate_documented(artists(s, d), incidents_view(s, d), "confidence").select(
-        "n_artists", "documented_present", "precision_at_10", "recall_at_25", "roc_auc")
+    return flat_report(evaluate_documented(artists(s, d), incidents_view(s, d), "confidence"))
 
 
 @query
@@ -652,6 +666,27 @@ def knn_embeddings(s, d):
         "id", (F.col("pos") + 1).alias("rank"), "neighbor", F.round(F.get("dists", "pos"), 6).alias("distance"))
 
 
+def part_points(s: SparkSession, d: str) -> DataFrame:
+    """All parts by size and price: few dimensions, so cells are left out by their bounds. Parts with equal values count as one point."""
+    part = s.read.parquet(f"{d}/part.parquet")
+    return part.select(F.col("p_partkey").alias("id"), F.array(F.col("p_size") * F.lit(20.0), F.col("p_retailprice")).alias("vec"))
+
+
+@query
+def knn_features(s, d):
+    """Cells of about 32 points, eight to a level, so several levels deep."""
+    points = materialize(collapse(part_points(s, d), id_col="id").withColumn("weight", F.lit(1).cast("bigint")), "points")
+    lists = knn_join(points, points, 10, True, cell_rows=32, fanout=8)
+    return lists.select("id", F.posexplode("ids").alias("pos", "neighbor"), "dists").select(
+        "id", (F.col("pos") + 1).alias("rank"), "neighbor", F.round(F.get("dists", "pos"), 6).alias("distance"))
+
+
+@query
+def lof_features(s, d):
+    points = materialize(collapse(part_points(s, d), id_col="id").withColumn("weight", F.lit(1).cast("bigint")), "points")
+    return fit_lof(points, 20, cell_rows=64).select("id", F.round("lof", 6).alias("lof"))
+
+
 @query
 def lof_embeddings(s, d):
     out = fit_lof(collapse(vectors(s, d), id_col="id"), 20, cell_rows=100)

@@ -198,3 +198,38 @@ def test_quoted_csv_lines_are_read(spark, tmp_path):
     path.write_text('title,date,artist,region,streams\n"Say ""Hi"", Bob",2020-01-01,A,Global,5\n')
     out = curate_charts(spark, str(path), str(tmp_path / "out.csv"), regions=["Global"]).collect()
     assert [(r["title"], r["artist"], r["streams"]) for r in out] == [('Say "Hi", Bob', "A", 5.0)]
+
+
+def test_order_over_a_million_scores_has_no_single_task(spark):
+    """Ranks and AUC of a million different scores: ranges with offsets, no exchange into one partition."""
+    import contextlib
+    import io
+
+    from tidewatch.operators.prefix import running_totals
+    df = spark.range(1_000_000).select("id", (F.xxhash64("id") / 1e9).alias("s"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 0).alias("y"))
+    run = running_totals(df, [], "s", "id", F.lit(1.0), descending=True, every=1 << 16)
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        run.explain()
+    assert "SinglePartition" not in shown.getvalue()
+    assert run.where(F.col("run_sum") != F.col("run_count")).isEmpty()
+    x = df.select("s", "y").toPandas()
+    order = x["s"].rank(ascending=False)
+    got = run.agg(F.max("run_count").alias("n"), F.max_by("s", "run_count").alias("last"), F.min_by("s", "run_count").alias("first")).first()
+    assert (got["n"], got["last"], got["first"]) == (1_000_000, x["s"].min(), x["s"].max())
+    n1 = int(x["y"].sum())
+    n0 = len(x) - n1
+    want = (x["s"].rank()[x["y"]].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
+    assert ranking.roc_auc(df, F.col("y"), F.col("s"), 9).first()[0] == pytest.approx(want, abs=1e-9)
+    assert order.max() == 1_000_000
+
+
+def test_running_totals_split_one_hot_value(spark):
+    """All rows share the group and the coarse value; NULLs are values of their own."""
+    from tidewatch.operators.prefix import running_totals
+    rows = [("g", 1.0, f"n{i:05}", float(i)) for i in range(3000)] + [(None, None, "a", 2.0), (None, None, None, 3.0), ("g", None, "z", None)]
+    df = spark.createDataFrame(rows, "g string, c double, f string, v double").repartition(3)
+    got = {(r["g"], r["c"], r["f"]): (r["run_sum"], r["run_count"]) for r in running_totals(df, ["g"], "c", "f", "v", every=100).collect()}
+    assert len(got) == len(rows)
+    assert got["g", None, "z"] == (0.0, 1) and got[None, None, None] == (3.0, 1) and got[None, None, "a"] == (5.0, 2)
+    assert all(got["g", 1.0, f"n{i:05}"] == (i * (i + 1) / 2, i + 2) for i in range(3000))

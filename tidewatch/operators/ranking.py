@@ -57,21 +57,18 @@ def documented_absent(results: DataFrame, incidents: DataFrame) -> DataFrame:
     return documented_names(incidents).join(found, "_norm", "left_anti").select(F.col("_norm").alias("artist"))
 
 
-def auc_parts(df: DataFrame, positive: Column, score: Column) -> DataFrame:
-    """Counts per score value and the negatives below it.
-
-    The scores of this library are percentages with one decimal, so at most 1001 rows reach the window.
-    """
+def auc_parts(df: DataFrame, positive: Column, score: Column, every: int = DEFAULT.prefix_rows) -> DataFrame:
+    """Counts per score value and the negatives below it, for any number of values: offsets of sorted ranges of scores."""
     groups = df.groupBy(score.alias("score")).agg(
         F.sum(F.when(positive, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(positive, 0).otherwise(1)).alias("neg"))
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    return groups.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    run = running_totals(groups, [], "score", "pos", "neg", every=every)
+    return run.withColumn("neg_below", F.col("run_sum") - F.col("neg")).drop("run_sum", "run_count")
 
 
-def roc_auc(df: DataFrame, positive: Column, score: Column, digits: int = 3) -> DataFrame:
+def roc_auc(df: DataFrame, positive: Column, score: Column, digits: int = 3, every: int = DEFAULT.prefix_rows) -> DataFrame:
     """One row: tie-aware area under the ROC curve, NULL unless both classes occur."""
-    parts = auc_parts(df, positive, score)
+    parts = auc_parts(df, positive, score, every)
     pairs = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     area = pairs / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))
     return parts.agg(round_even(area, digits).alias("roc_auc"))
