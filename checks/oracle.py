@@ -412,11 +412,19 @@ put(SESSIONS,
     repeat_histogram=histogram("sessions", "least(repeat_count, 30)", 30))
 put(injected("spike", 5.0), inject_spike="select artist, title, date, round(streams, 6) as streams, is_injected, month, year, day_of_week from inj")
 put(injected("plateau", 3.0), inject_plateau="select artist, title, date, round(streams, 6) as streams, is_injected, month, year, day_of_week from inj")
-put(injected("spike", 5.0) + SIGNALS.format(x="j", source="inj") + f", sc as (select *, {STAND_IN} as eb from usej)",
-    injection_metrics=f"""select sum(is_injected)::bigint as injected_days, {r('sum(is_injected * eb) / greatest(sum(is_injected), 1)', 3)} as day_recall,
+
+
+def metrics_of(pattern: str, boost: float) -> str:
+    ctes = injected(pattern, boost) + SIGNALS.format(x="j", source="inj") + f", sc as (select *, {STAND_IN} as eb from usej)"
+    return f"""with {ctes}
+select sum(is_injected)::bigint as injected_days, {r('sum(is_injected * eb) / greatest(sum(is_injected), 1)', 3)} as day_recall,
   count(distinct case when is_injected = 1 then concat(artist, '|', title) end) as injected_tracks,
   {r("count(distinct case when is_injected * eb = 1 then concat(artist, '|', title) end) / greatest(count(distinct case when is_injected = 1 then concat(artist, '|', title) end), 1)", 3)} as track_recall,
-  {r('sum(is_injected * eb) / greatest(sum(eb), 1)', 3)} as precision_loose, {r('sum(eb) / greatest(count(*), 1)', 4)} as flagged_frac from sc""")
+  {r('sum(is_injected * eb) / greatest(sum(eb), 1)', 3)} as precision_loose, {r('sum(eb) / greatest(count(*), 1)', 4)} as flagged_frac from sc"""
+
+
+ORACLE["injection_metrics"] = metrics_of("spike", 5.0)
+ORACLE["sweep_csv"] = " union all ".join(f"select *, '{p}' as pattern from ({metrics_of(p, b)})" for p, b in (("spike", 5.0), ("plateau", 3.0)))
 TAG_RULES = [("Hip Hop / Rap", ("hip hop", "rap", "trap")), ("Pop", ("pop",)), ("R&B / Soul", ("r&b", "soul", "urban")),
              ("Rock / Alternative", ("rock", "indie", "alternative")), ("Latin", ("latin", "reggaeton")),
              ("Country", ("country",)), ("EDM / Electronic", ("edm", "electronic", "house", "techno"))]
@@ -460,3 +468,13 @@ nk as (select * from (select *, row_number() over (partition by p order by dist,
 nl as (select nk.p, 1.0 / (avg(greatest(kd.kdist, nk.dist)) + 1e-10) as lrd from nk join kd on kd.p = nk.o group by nk.p)""",
     lof_novelty_embeddings="""select nk.p as id, round(avg(b.lrd) / any_value(a.lrd), 6) as lof
   from nk join nl a on a.p = nk.p join lrd b on b.p = nk.o group by nk.p""")
+
+# Tables that are written and read again hold what they held; an empty text in a CSV file is NULL.
+put(CHARTS, first_existing_source=f"select {CHART_COLS} from charts")
+put(LABELED, labels_csv="select nullif(label, '') as label, artist, title from lab")
+for read, written in (("published_results", "track_rollup"), ("incidents_csv", "incident_table"), ("report_json", "evaluate_documented_report")):
+    ORACLE[read] = ORACLE[written]
+ORACLE["genres_csv"] = "select n_name as artist, r_name as genre_category, r_name as genres from nation join region on n_regionkey = r_regionkey"
+ORACLE["review_sheet_of_few_columns"] = f"""select label, artist, title, total_streams, bot_pct, flagged_days, '' as confidence, '' as flag_reasons, '' as note
+from ({ORACLE["review_sheet"]})"""
+ORACLE["artists_csv"] = f"select * replace (nullif(note, '') as note) from ({ORACLE['artist_rollup']})"

@@ -28,8 +28,9 @@ from tidewatch.plans.audit import audit_charts, signal_table
 from tidewatch.plans.evaluate import evaluate_documented, positive_ranks
 from tidewatch.runtime import materialize, new_path
 from tidewatch.sources import (
-    charts_view, curate_charts, genres_view, incidents_view, labels_view, read_charts, region_filter,
-    sessions_view, take_first,
+    charts_or_empty, charts_view, curate_charts, genres_view, incidents_view, labels_view, read_artists, read_charts,
+    read_genres, read_incidents, read_labels, read_tracks, region_filter, results, sessions_view, take_first,
+    write_report, write_table,
 )
 from tidewatch.sources.charts import drop_missing_streams
 
@@ -797,6 +798,81 @@ def contamination_tune(s, d):
     return sweeps.contamination_tune(kept(s, d), incidents_view(s, d), cfg=CFG)
 
 
+# ---- sinks and typed reads ---------------------------------------------------------------------------------------
+
+@query
+def first_existing_source(s, d):
+    """The first path does not exist, the second is read."""
+    path = new_path(s, "charts")
+    charts_view(s, d).write.parquet(f"{path}/second")
+    return charts_or_empty(s, [f"{path}/first", f"{path}/second"])
+
+
+@query
+def published_results(s, d):
+    """Tracks and artists as one set, published twice; the tracks of the current set."""
+    out, found = new_path(s, "results"), tracks(s, d)
+    for _ in range(2):
+        results.publish(s, out, {"tracks": found, "artists": artists(s, d)})
+    return round_columns(read_tracks(s, f"{results.current(s, out)}/tracks"), *TRACK_ROUNDED)
+
+
+@query
+def artists_csv(s, d):
+    path = f"{new_path(s, 'artists')}.csv"
+    write_table(artists(s, d), path)
+    return round_columns(read_artists(s, path), "max_spike_ratio")
+
+
+@query
+def labels_csv(s, d):
+    """Labels keep their padding on the way through a file; an empty one is NULL."""
+    path = f"{new_path(s, 'labels')}.csv"
+    write_table(labels_view(tracks(s, d)), path)
+    return read_labels(s, path).select("label", "artist", "title")
+
+
+@query
+def genres_csv(s, d):
+    path = f"{new_path(s, 'genres')}.csv"
+    write_table(genres_view(s, d), path)
+    return read_genres(s, path)
+
+
+@query
+def incidents_csv(s, d):
+    path = f"{new_path(s, 'incidents')}.csv"
+    write_table(incidents_view(s, d), path)
+    return read_incidents(s, path)
+
+
+@query
+def sweep_csv(s, d):
+    """Metrics of two injected patterns, written as a sweep's table."""
+    rows = None
+    for pattern, boost in (("spike", 5.0), ("plateau", 3.0)):
+        injected = inject.inject(daily(s, d), 300, 5, boost, pattern=pattern)
+        row = inject.injection_metrics(signals.stand_in_flags(signals.engineer_signals(injected, cfg=CFG), CFG)).withColumn("pattern", F.lit(pattern))
+        rows = row if rows is None else rows.unionByName(row)
+    return sweeps.write_sweep(rows, f"{new_path(s, 'sweep')}.csv")
+
+
+@query
+def report_json(s, d):
+    """A report file; the second report is not to be written and leaves it alone."""
+    path = new_path(s, "report")
+    report = evaluate_documented(artists(s, d), incidents_view(s, d))
+    write_report(report, path)
+    write_report(report.where("false"), path, write=False)
+    return flat_report(s.read.schema(report.schema).json(path))
+
+
+@query
+def review_sheet_of_few_columns(s, d):
+    """A track table without confidence, reasons and notes: these are blank."""
+    return labels.review_sheet(tracks(s, d).drop("confidence", "flag_reasons", "note"))
+
+
 # ---- streaming ---------------------------------------------------------------------------------------------------
 
 def chart_stream(s: SparkSession, d: str) -> DataFrame:

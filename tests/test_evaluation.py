@@ -233,3 +233,46 @@ def test_running_totals_split_one_hot_value(spark):
     assert len(got) == len(rows)
     assert got["g", None, "z"] == (0.0, 1) and got[None, None, None] == (3.0, 1) and got[None, None, "a"] == (5.0, 2)
     assert all(got["g", 1.0, f"n{i:05}"] == (i * (i + 1) / 2, i + 2) for i in range(3000))
+
+
+def test_result_sets_appear_whole(spark, tmp_path, monkeypatch):
+    """A writer that is lost between two tables changes nothing; the next one is seen whole, and old sets go."""
+    from tidewatch.sources import results
+    out = f"{tmp_path}/out"
+    with pytest.raises(FileNotFoundError):
+        results.current(spark, out)
+
+    def tables(n):
+        return {"tracks": spark.range(n), "artists": spark.range(n + 1)}
+
+    def seen():
+        folder = results.current(spark, out)
+        return tuple(spark.read.parquet(f"{folder}/{t}").count() for t in ("tracks", "artists"))
+
+    results.publish(spark, out, tables(1))
+    assert seen() == (1, 2)
+    keep = results.write_table
+
+    def lost(df, path):
+        if path.endswith("artists"):
+            raise RuntimeError("lost")
+        keep(df, path)
+
+    monkeypatch.setattr(results, "write_table", lost)
+    with pytest.raises(RuntimeError):
+        results.publish(spark, out, tables(5))
+    assert seen() == (1, 2)
+    monkeypatch.setattr(results, "write_table", keep)
+
+    def no_model(path):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        results.publish(spark, out, tables(6), {"model": no_model})
+    assert seen() == (1, 2)
+    opened = results.current(spark, out)
+    for n in (7, 8):
+        results.publish(spark, out, tables(n))
+        assert seen() == (n, n + 1)
+    from tidewatch.runtime import path_exists
+    assert not path_exists(spark, opened) and len(list((tmp_path / "out" / "_commits").glob("0*"))) == 2

@@ -15,7 +15,7 @@ from ..operators.rollup import add_flag_values, artist_rollup, track_rollup
 from ..operators.signals import engineer_signals
 from ..runtime import materialize
 from ..sources.charts import read_charts
-from ..sources.tables import write_table
+from ..sources.results import publish
 
 
 @dataclass
@@ -47,13 +47,15 @@ def audit_charts(charts: DataFrame, mode: str = "retrospective", cfg: AuditConfi
 
 def run_audit(spark: SparkSession, data: str, out: str, mode: str = "retrospective", sample: int | None = None,
               all_regions: bool = False, save_model: bool = True, cfg: AuditConfig = DEFAULT) -> Audit:
-    """Read, audit, write the track and artist tables and, if wanted, the model."""
+    """Read, audit, and publish the track and artist tables and, if wanted, the model as one set.
+
+    ``tidewatch.sources.results.current(spark, out)`` is the folder of the set that was published last; it holds ``tracks``,
+    ``artists`` and ``model``. A run that is lost on the way leaves the earlier set in place.
+    """
     charts = read_charts(spark, data, sample, all_regions, cfg.regions)
     audit = audit_charts(charts, mode, cfg)
-    write_table(audit.tracks, f"{out}/tracks")
-    write_table(audit.artists, f"{out}/artists")
-    if save_model:
-        audit.detector.save(spark, f"{out}/model")
+    model = {"model": lambda path: audit.detector.save(spark, path)} if save_model else {}
+    publish(spark, out, {"tracks": audit.tracks, "artists": audit.artists}, model)
     return audit
 
 
