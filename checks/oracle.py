@@ -478,3 +478,56 @@ ORACLE["genres_csv"] = "select n_name as artist, r_name as genre_category, r_nam
 ORACLE["review_sheet_of_few_columns"] = f"""select label, artist, title, total_streams, bot_pct, flagged_days, '' as confidence, '' as flag_reasons, '' as note
 from ({ORACLE["review_sheet"]})"""
 ORACLE["artists_csv"] = f"select * replace (nullif(note, '') as note) from ({ORACLE['artist_rollup']})"
+
+
+# ---- isolation forest: the same integers, grown level by level
+
+def forest(source: str, key: list[str], features: list[str], trees: int, sample: int = 256, seed: int = 42, depth: int = 8) -> str:
+    """CTEs: scaled (rid, x), node_0 .. node_8, nodes (the forest) and iso (rid, iso_score)."""
+    n, prime = len(features), (1 << 31) - 1
+    draw = lambda *parts: "('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 8))::bigint"
+    scaled = ", ".join(f"({f}::double - avg({f}::double) over ()) / coalesce(nullif(stddev_pop({f}::double) over (), 0), 1)" for f in features)
+    digest = "md5(concat_ws('|', '" + str(seed) + "', " + ", ".join(f"coalesce({k}::varchar, '')" for k in key) + "))"
+    out = f""",
+scaled as materialized (select row_number() over () as rid, *, [{scaled}] as x from {source}),
+pool as materialized (select x, row_number() over (order by h) as place from (select x, {digest} as h from scaled order by h limit {trees * sample})),
+tree_draws as materialized (select t as tree, 1 + {draw(f"'{seed}'", 't::varchar', "'a'")} % {prime - 1} as a, {draw(f"'{seed}'", 't::varchar', "'b'")} % {prime} as b from range({trees}) r(t)),
+rows_0 as materialized (select tree, 1::bigint as node, x from (select tree, x, row_number() over (partition by tree order by (a * place + b) % {prime}) as k from pool, tree_draws) where k <= {sample})"""
+    for level in range(depth + 1):
+        ends = ", ".join(f"min(x[{i + 1}])" for i in range(n)), ", ".join(f"max(x[{i + 1}])" for i in range(n))
+        out += f""",
+ends_{level} as materialized (select *, list_filter(range(1, {n + 1}), lambda f: hi[f] > lo[f]) as usable
+  from (select tree, node, count(*) as size, [{ends[0]}] as lo, [{ends[1]}] as hi from rows_{level} group by tree, node)),
+picked_{level} as materialized (select *, case when size > 1 and len(usable) > 0 and {level} < {depth}
+  then usable[1 + {draw(f"'{seed}'", 'tree::varchar', 'node::varchar', "'feature'")} % len(usable)] end as f from ends_{level}),
+node_{level} as materialized (select tree, node, f, size, {level} as depth, case when f is not null and p >= hi[f] then lo[f] else p end as split
+  from (select *, case when f is not null then lo[f] + (hi[f] - lo[f]) * ({draw(f"'{seed}'", 'tree::varchar', 'node::varchar', "'split'")} / 4294967296.0::double) end as p from picked_{level}))"""
+        if level < depth:
+            out += f""",
+rows_{level + 1} as materialized (select r.tree, 2 * r.node + case when r.x[n.f] <= n.split then 0 else 1 end as node, r.x
+  from rows_{level} r join node_{level} n on r.tree = n.tree and r.node = n.node where n.f is not null)"""
+    out += """,
+nodes as materialized (""" + " union all ".join(f"select * from node_{i}" for i in range(depth + 1)) + ")"
+    at = f"select rid, x, tree, 1::bigint as node from scaled, tree_draws"
+    for level in range(depth):
+        at = f"""select p.rid, p.x, p.tree, case when n.f is null then p.node else 2 * p.node + case when p.x[n.f] <= n.split then 0 else 1 end end as node
+  from ({at}) p join nodes n on p.tree = n.tree and p.node = n.node"""
+    mean = "case when {n} <= 1 then 0.0 when {n} = 2 then 1.0 else 2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1.0) / {n} end"
+    return out + f""",
+iso as materialized (select rid, -pow(2, -round(sum(n.depth + {mean.format(n="n.size")}), 9) / ({trees} * (select {mean.format(n="size")} from node_0 limit 1))) as iso_score
+  from ({at}) p join nodes n on p.tree = n.tree and p.node = n.node group by rid)"""
+
+
+MODEL_FEATURES = ["streams", "pct_change", "spike_ratio", "seasonal_spike", "rolling_cv", "drop_after_spike"]
+ORACLE["iforest_nodes"] = f"with {SIG}{forest('use', ['artist', 'title', 'date'], MODEL_FEATURES, 200)}" + """
+select tree::int as tree, node::int as node, coalesce(f - 1, -1)::int as feature, round(coalesce(split, 0), 6) as split,
+  case when f is null then -1 else 2 * node end::int as "left", case when f is null then -1 else 2 * node + 1 end::int as "right", size::int as size, depth::int as depth from nodes"""
+ORACLE["iforest_scores"] = f"with {SIG}{forest('use', ['artist', 'title', 'date'], MODEL_FEATURES, 200)}" + """
+select artist, title, date, round(iso_score, 6) as iso_score from scaled join iso using (rid)"""
+SESSION_MODEL = f"with {SESSIONS}" + forest("sf", ["session_id"], ["completion_rate", "session_diversity", "repeat_count", "skipped", "odd_hour", "high_repeat"], 100) + """,
+flagged_sessions as (select session_id, artist, iso_score - (select quantile_cont(iso_score, 0.05) from iso) as anomaly_score from scaled join iso using (rid))"""
+ORACLE["session_anomaly"] = SESSION_MODEL + """
+select session_id, artist, round(anomaly_score, 6) as anomaly_score, (anomaly_score < 0)::int as is_bot from flagged_sessions"""
+ORACLE["session_anomaly_stats"] = SESSION_MODEL + f"""
+select artist, total_streams, bot_streams, total_streams - bot_streams as real_streams, {r('bot_streams / total_streams * 100.0', 1)} as bot_percentage
+from (select artist, count(*) as total_streams, sum((anomaly_score < 0)::int)::bigint as bot_streams from flagged_sessions group by artist)"""

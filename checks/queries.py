@@ -726,7 +726,7 @@ def iforest_nodes(s, d):
     sig = materialize(signal_days(s, d), "signals")
     names = signals.features_for("retrospective")
     scaled = scaler.standardize(sig, scaler.fit_scaler(sig, names)).select("artist", "title", "date", "vec")
-    return s.createDataFrame(fit_forest(scaled).nodes)
+    return s.createDataFrame(fit_forest(scaled).nodes).withColumn("split", F.round("split", 6))
 
 
 @query
@@ -734,7 +734,7 @@ def iforest_scores(s, d):
     sig = materialize(signal_days(s, d), "signals")
     names = signals.features_for("retrospective")
     scaled = scaler.standardize(sig, scaler.fit_scaler(sig, names)).select("artist", "title", "date", "vec")
-    return forest_scores(scaled, fit_forest(scaled)).drop("vec")
+    return round_columns(forest_scores(scaled, fit_forest(scaled)).drop("vec"), "iso_score")
 
 
 @query
@@ -775,7 +775,8 @@ def incremental_score(s, d):
 
 @query
 def session_anomaly(s, d):
-    return sessions.session_anomaly(sessions_view(s, d)).select("session_id", "artist", "anomaly_score", "is_bot")
+    out = sessions.session_anomaly(sessions_view(s, d)).select("session_id", "artist", "anomaly_score", "is_bot")
+    return round_columns(out, "anomaly_score")
 
 
 @query

@@ -3,19 +3,26 @@
 Training needs trees x sample rows whatever the table holds: a uniform pool of that size is drawn by
 hash (a distributed top-n), and every tree takes its own sample from the pool. The forest is a node
 table of fixed size, so it is safe to ship to every task.
+
+Every draw is an MD5 integer of the seed, the tree and the node, so any engine with MD5 grows the same forest: the pool is
+in the order of the rows' digests, a tree takes the places that a linear map modulo a prime puts first, and a node
+takes the feature and the split point that its two integers name. Nodes are numbered as in a heap, the root is 1.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, size int, depth int"
 EULER = 0.5772156649015329
+PRIME = (1 << 31) - 1
+PREFIX = 3                              # hex digits of the digests that are counted
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -26,31 +33,36 @@ def average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, out))
 
 
-def _grow(points: np.ndarray, tree: int, rng: np.random.Generator, max_depth: int) -> list[tuple]:
-    """Nodes of one tree; a node splits a random non-constant feature at a uniform value."""
-    nodes: list[list] = []
-    todo = [(points, 0, -1, 0)]
+def draw(*parts) -> int:
+    """A repeatable integer below 2^32: the first eight hex digits of an MD5."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
+def places(seed: int, tree: int, rows: int, take: int) -> np.ndarray:
+    """The places in the pool of a tree's sample."""
+    factor, shift = 1 + draw(seed, tree, "a") % (PRIME - 1), draw(seed, tree, "b") % PRIME
+    return np.argsort((factor * np.arange(1, rows + 1, dtype=np.int64) + shift) % PRIME)[:take]
+
+
+def _grow(points: np.ndarray, tree: int, seed: int, max_depth: int) -> list[tuple]:
+    """Nodes of one tree; a node splits a drawn non-constant feature at a drawn point between its ends."""
+    nodes: list[tuple] = []
+    todo = [(points, 0, 1)]
     while todo:
-        rows, depth, parent, side = todo.pop()
-        me = len(nodes)
-        nodes.append([tree, me, -1, 0.0, -1, -1, len(rows), depth])
-        if parent >= 0:
-            nodes[parent][4 + side] = me
-        if depth >= max_depth or len(rows) <= 1:
-            continue
+        rows, depth, node = todo.pop()
         low, high = rows.min(axis=0), rows.max(axis=0)
         usable = np.flatnonzero(high > low)
-        if len(usable) == 0:
+        if depth >= max_depth or len(rows) <= 1 or len(usable) == 0:
+            nodes.append((tree, node, -1, 0.0, -1, -1, len(rows), depth))
             continue
-        feature = int(rng.choice(usable))
-        split = float(rng.uniform(low[feature], high[feature]))
+        feature = int(usable[draw(seed, tree, node, "feature") % len(usable)])
+        split = float(low[feature] + (high[feature] - low[feature]) * (draw(seed, tree, node, "split") / 2.0 ** 32))
         if split >= high[feature]:
             split = float(low[feature])
         left = rows[:, feature] <= split
-        nodes[me][2:4] = [feature, split]
-        todo.append((rows[~left], depth + 1, me, 1))
-        todo.append((rows[left], depth + 1, me, 0))
-    return [tuple(n) for n in nodes]
+        nodes.append((tree, node, feature, split, 2 * node, 2 * node + 1, len(rows), depth))
+        todo += [(rows[~left], depth + 1, 2 * node + 1), (rows[left], depth + 1, 2 * node)]
+    return nodes
 
 
 @dataclass
@@ -65,38 +77,46 @@ class Forest:
         nodes = self.nodes.sort_values(["tree", "node"], ignore_index=True)
         sizes = nodes.groupby("tree").size().to_numpy()
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        base = np.repeat(starts, sizes)
-        own = np.arange(len(nodes))
+        tree, own = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(nodes))
+        span = int(nodes["node"].max()) + 2
+        numbers = tree * span + nodes["node"].to_numpy()
         leaf = nodes["feature"].to_numpy() < 0
-        left = np.where(leaf, own, nodes["left"].to_numpy() + base)
-        right = np.where(leaf, own, nodes["right"].to_numpy() + base)
+        left, right = (np.where(leaf, own, np.searchsorted(numbers, tree * span + nodes[side].to_numpy())) for side in ("left", "right"))
         path = np.where(leaf, nodes["depth"].to_numpy() + average_path(nodes["size"].to_numpy()), 0.0)
         return (np.where(leaf, 0, nodes["feature"].to_numpy()), nodes["split"].to_numpy(), left, right, path,
                 starts, int(nodes["depth"].max()), len(sizes) * float(average_path(np.array(self.sample))))
 
 
-def smallest_hashes(df: DataFrame, columns: list[str], value: str, rows: int, seed: int, total: int) -> np.ndarray:
+def smallest_hashes(df: DataFrame, columns: list[str], value: str, rows: int, seed: int, total: int | None = None,
+                    digest: Column | None = None) -> np.ndarray:
     """``value`` of the rows with the smallest seeded hashes over ``columns``: a uniform sample of bounded size,
-    the same for any partitioning.
+    the same for any partitioning, in the order of the hashes. ``digest`` is another hash, in hex.
 
-    On large tables a hash limit that about four times as many rows pass is applied first, so that the final
-    top-n does not gather ``rows`` rows from every split of the input.
+    The hashes are counted by their first digits, so that few more than ``rows`` rows are gathered for the final top-n,
+    whatever the size of the table and also if copies share a hash. ``total`` is not used.
     """
-    hashed = df.select(F.xxhash64(F.lit(seed), *columns).alias("h"), F.col(value).alias("v"))
-    limit = -(1 << 63) + (1 << 64) * 4 * rows // max(total, 1)
-    passing = hashed.where(F.col("h") < F.lit(limit)) if total > 8 * rows else hashed
-    picked = passing.orderBy("h", "v").limit(rows).toPandas()
-    if len(picked) < min(rows, total) and total > 8 * rows:
-        # copies share a hash, so the limit can pass too few rows
-        picked = hashed.orderBy("h", "v").limit(rows).toPandas()
+    digest = F.lpad(F.hex(F.xxhash64(F.lit(seed), *columns)), 16, "0") if digest is None else digest
+    hashed = df.select(digest.alias("h"), F.col(value).alias("v"))
+    counts = hashed.groupBy(F.substring("h", 1, PREFIX).alias("first")).agg(F.count(F.lit(1)).alias("n")).collect()
+    limit, found = "", 0
+    for r in sorted(counts, key=lambda r: r["first"]):
+        if found >= rows:
+            break
+        limit, found = r["first"], found + r["n"]
+    picked = hashed.where(F.substring("h", 1, PREFIX) <= limit).orderBy("h", "v").limit(rows).toPandas()
     return np.array(picked["v"].tolist(), dtype=float).reshape(len(picked), -1)
 
 
+def row_digest(seed: int, columns: list[str]) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+
+
 def fit_forest(df: DataFrame, vec: str = "vec", trees: int = 200, sample: int = 256, seed: int = 42) -> Forest:
     """Grow the trees in parallel tasks from one bounded pool of trees x sample rows."""
     spark: SparkSession = df.sparkSession
     # the key columns tell rows with equal vectors apart
-    pool = smallest_hashes(df, [c for c in df.columns if c != vec] + [vec], vec, trees * sample, seed, df.count())
+    keys = [c for c in df.columns if c != vec] or [vec]
+    pool = smallest_hashes(df, keys, vec, trees * sample, seed, digest=row_digest(seed, keys))
     if len(pool) == 0:
         raise ValueError("cannot fit on an empty table")
     take = min(sample, len(pool))
@@ -107,9 +127,7 @@ def fit_forest(df: DataFrame, vec: str = "vec", trees: int = 200, sample: int =
         for batch in batches:
             out: list[tuple] = []
             for tree in batch["tree"]:
-                rng = np.random.default_rng([seed, int(tree)])
-                rows = shared.value[rng.choice(len(shared.value), size=take, replace=False)]
-                out.extend(_grow(rows, int(tree), rng, depth))
+                out.extend(_grow(shared.value[places(seed, int(tree), len(shared.value), take)], int(tree), seed, depth))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
     slots = min(trees, max(1, spark.sparkContext.defaultParallelism))
