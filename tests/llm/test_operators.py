@@ -150,10 +150,12 @@ def test_html_templates_of_large_and_small_hosts(spark):
     rows += [(4000 + i, f"http://large.example/a{i}", f"<article><h1>Head</h1><p>One {i}</p>" + ("<p>Said often</p>" if i < 15 else "") + f"<p>Two {i}</p>"
               + ("<p>All rights reserved</p></article>" if i < 12 else "</article>")) for i in range(20)]
     rows += [rows[0], (3000, "http://one.example/", rows[0][2])]
-    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    out = html_text.extract(pages).collect()
+    assert sorted(out) == sorted(html_text.extract(pages, sent=0).collect())
     want = [(i, f"Text {i} {i // 9}") for i in [0, *range(200)]] + [(1000 + i, f"Small {i} Pair {i // 2}") for i in range(5)]
     want += [(2000 + i, "Copied") for i in range(20)]
-    want += [(4000 + i, f"Head One {i} {'Said often ' if i < 15 else ''}Two {i}") for i in range(20)] + [(3000, "Advert Text 0 0")]
+    want += [(4000 + i, f"Head One {i} {'Said often ' if i < 15 else ''}Two {i}{' All rights reserved' if i < 12 else ''}") for i in range(20)] + [(3000, "Advert Text 0 0")]
     same([(r["page_id"], r["text"]) for r in out], want)
 
 

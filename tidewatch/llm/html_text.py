@@ -2,8 +2,8 @@
 
 A page is parsed into a tree. The hash of a block element covers its tag and everything below it. Spark counts, for each
 host, on how many different pages a subtree occurs; subtrees on PAGE_LEAST of them are template on a host of any size, on
-small hosts those on a large part of the pages. A sentence may be repeated in articles too: paragraphs amid others need
-the large part on any host. Template is deleted, along with the elements that hold no article text by their kind (menus, footers, forms, scripts and so on).
+small hosts those on a large part of the pages. A sentence may be repeated in articles too: paragraphs and headings inside an
+article or main element are never template, elsewhere those amid others need the large part on any host. Template is deleted, along with the elements that hold no article text by their kind (menus, footers, forms, scripts and so on).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ ENDED_BY = {"p": {"p", "div", "ul", "ol", "table", "article", "section", "h1", "
             "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Different pages that make a subtree template; or else a share of the host's pages, and at least so many.
 PAGE_LEAST, PAGE_SHARE, PAGE_FEW = 10, 0.5, 3
+#: Template subtrees of all hosts that are sent to every task: 16 MB.
+SENT_KEYS = 1 << 21
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PROSE = {"p", "blockquote", "pre"} | HEADINGS
 
@@ -208,16 +211,16 @@ def _subtrees(page, host, text):
     hash_subtrees(root)
     main = main_parts(root)
     content = blake2b(b"".join(e.key.to_bytes(8, "big", signed=True) for e in main), digest_size=8).digest()
-    seen = {e.key for e in walk(root) if e.tag and e.tag not in INLINE and e.tag not in VOID and e not in main}
+    prose = {e.key for part in main if part.tag in ("article", "main") for e in walk(part) if e.tag in PROSE}
+    seen = {e.key for e in walk(root) if e.tag and e.tag not in INLINE and e.tag not in VOID and e not in main} - prose
     inner = amid_others(root)
     return [(page, host, int.from_bytes(content, "big", signed=True), key, int(key in inner)) for key in seen]
 
 
-def templates(pages: DataFrame, share: float = PAGE_SHARE, least: int = PAGE_LEAST, few: int = PAGE_FEW) -> DataFrame:
-    """Columns page, template: for the pages (page, host, html) with parts of their host's template, the hashes of these.
+def templates(pages: DataFrame, share: float = PAGE_SHARE, least: int = PAGE_LEAST, few: int = PAGE_FEW) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (host, key), the subtrees that are template on their host, and (page, host, key), all subtrees of all pages.
 
-    Copies of an article count as one page, so an article that is repeated does not become a template. The template of a
-    host grows with its pages, so every page gets its own part only."""
+    Copies of an article count as one page, so an article that is repeated does not become a template."""
     columns = "page long, host long, content long, key long, inner int"
     found = pages.select("page", "host", "html").mapInPandas(_rows(columns, _subtrees), columns).distinct()
     found = materialize(found, "subtrees")
@@ -226,31 +229,54 @@ def templates(pages: DataFrame, share: float = PAGE_SHARE, least: int = PAGE_LEA
     counted = once.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("inner").alias("inner")).where(F.col("n") >= min(few, least))
     many = (F.col("n") >= least) & (2 * F.col("inner") <= F.col("n"))
     common = counted.join(size, "host").where(many | (F.col("n") >= few) & (F.col("n") >= share * F.col("pages"))).select("host", "key")
-    common = materialize(common, "template-subtrees")
+    return materialize(common, "template-subtrees"), found
+
+
+def own_parts(common: DataFrame, found: DataFrame) -> DataFrame:
+    """(page, template): for the pages with parts of their host's template, the hashes of these."""
     own = found.select("page", "host", "key").join(common, ["host", "key"], "left_semi").groupBy("page").agg(F.collect_set("key").alias("template"))
-    own = materialize(own, "templates")
-    discard(found)
-    return own
+    return materialize(own, "templates")
 
 
-def extract(pages: DataFrame, share: float = PAGE_SHARE, least: int = PAGE_LEAST, few: int = PAGE_FEW) -> DataFrame:
+def extract(pages: DataFrame, share: float = PAGE_SHARE, least: int = PAGE_LEAST, few: int = PAGE_FEW, sent: int = SENT_KEYS) -> DataFrame:
     """Columns page_id, url, text, n_chars: one row for every row of `pages` (page_id, url, html).
 
     A null or empty page has the text "". Pages without a url, or with one that has no host, form a host of their own
     and are parsed like others. Repeated rows stay, equal pages count once for the template, extra columns are ignored,
-    an empty table gives an empty result. Broken markup never fails; text after a tag that is cut off is kept up to it.
+    an empty table gives an empty result. The template of all hosts is sent to every task if it has at most `sent` subtrees
+    (8 bytes each); beyond that every page is joined with its own part of it, with the same result. Broken markup never fails; text after a tag that is cut off is kept up to it.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     text = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64(host).alias("host"),
                         F.xxhash64(host, text).alias("page"), text.alias("html"))
-    joined = base.join(templates(base, share, least, few), "page", "left").select("page_id", "url", "html", "template")
+    columns = "page_id long, url string, text string, n_chars long"
+    common, found = templates(base, share, least, few)
+
+    def result(page_id, url, root, template):
+        text = text_of(root, template)
+        return [(page_id, url, text, len(text))]
 
-    def one(page_id, url, page, template):
+    if common.count() <= sent:
+        discard(found)
+        pairs = common.select(F.col("host").bitwiseXOR(F.col("key")).alias("pair")).toArrow()["pair"]
+        shared = pages.sparkSession.sparkContext.broadcast(np.unique(pairs.to_numpy()))
+
+        def one(page_id, url, page, host):
+            root = parse(page)
+            hash_subtrees(root)
+            keys = np.array([e.key for e in walk(root)], np.int64)
+            known, wanted = shared.value, keys ^ host
+            at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
+            return result(page_id, url, root, frozenset(keys[known[at] == wanted].tolist()) if len(known) else frozenset())
+
+        return base.select("page_id", "url", "html", "host").mapInPandas(_rows(columns, one), columns)
+
+    def joined(page_id, url, page, template):
         root = parse(page)
         hash_subtrees(root)
-        text = text_of(root, frozenset(template if template is not None else ()))
-        return [(page_id, url, text, len(text))]
+        return result(page_id, url, root, frozenset(template if template is not None else ()))
 
-    columns = "page_id long, url string, text string, n_chars long"
-    return joined.mapInPandas(_rows(columns, one), columns)
+    own = own_parts(common, found)
+    discard(found)
+    return base.join(own, "page", "left").select("page_id", "url", "html", "template").mapInPandas(_rows(columns, joined), columns)
