@@ -46,7 +46,7 @@ def op7_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = suffix.remove_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-                       F.sha2("kept", 256).alias("kept_sha256"))
+                       F.sha2("kept", 256).alias("kept_sha256"), F.length("kept").cast("long").alias("n_kept_bytes"))
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
