@@ -112,6 +112,39 @@ def test_mixing(docs, none):
     assert mixing.plan_mix(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mixing_meets_its_targets(spark):
+    """Every source takes its target to within its largest document, however few and uneven its documents are."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * int(rng.paretovariate(1.1) * 20)), f"s{int(rng.paretovariate(0.7)) % 9}") for i in range(1200)]
+    rows += [(None, f"no id {i} " + "x " * (i % 50), "s2") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    plan = mixing.plan_mix(docs).collect()
+    taken, largest, goal = {}, {}, {}
+    for r in plan:
+        s = r["source"]
+        taken[s] = taken.get(s, 0) + r["size"] * r["copies"]
+        largest[s], goal[s] = max(largest.get(s, 0), r["size"]), r["target"]
+    assert all(abs(taken[s] - goal[s]) <= 1.25 * largest[s] for s in goal), [(s, taken[s], goal[s], largest[s]) for s in goal]
+    again = mixing.plan_mix(docs.repartition(3)).collect()
+    same([tuple(r) for r in again], [tuple(r) for r in plan])
+
+
+CLASHING = ["gone_name", "gone_lines", "kept_id", "kept_digest", "rows", "first", "goal_rate", "goal_source", "goal_copies", "rate", "copies", "copy", "cut",
+            "n_words", "word_chars", "dup_chars_5", "draw", "size", "size_class", "digest", "c0", "c5", "name", "TEXT", "Source"]
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, docs):
+    base = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    more = base.select("*", *[F.concat(F.lit(f"{name}-"), F.coalesce("doc_id", F.lit(-1))).alias(f"x{k}") for k, name in enumerate(CLASHING)])
+    more = more.toDF(*base.columns, *CLASHING)
+    for stage in (repetition.quality_filter, lines.dedup_lines, simhash.keep_one, mixing.mix):
+        plain, out = stage(base), stage(more)
+        assert out.columns == more.columns
+        rows = [tuple(r) for r in out.collect()]
+        same([r[:5] for r in rows], [tuple(r) for r in plain.collect()])
+        assert all(r[5:] == tuple(f"{name}-{-1 if r[0] is None else r[0]}" for name in CLASHING) for r in rows)
+
+
 def test_html():
     page = ("<html><head><title>x</title></head><body><nav><li>menu</li></nav><div class='cookie-notice'>ok?</div><article><h1>A &amp;\n B</h1>"
             "<p>One <b>two</b>.<p>Three<script>var t='</p>'</script></article><footer>end</footer>")

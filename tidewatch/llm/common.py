@@ -23,6 +23,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def by_place(documents: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """`documents` with its columns named c0, c1, ... by place, so that none clashes with a column of an operator nor with
+    another one that differs in case alone, and the new names of the columns `names`. `toDF(*documents.columns)` undoes it."""
+    columns = documents.columns
+    lowered = [c.lower() for c in columns]
+    places = [columns.index(n) if n in columns else lowered.index(n.lower()) for n in names]
+    return documents.toDF(*[f"c{k}" for k in range(len(columns))]), [f"c{k}" for k in places]
+
+
+def only(documents: DataFrame, *names: str) -> DataFrame:
+    """The columns `names` of `documents` alone, under these names."""
+    placed, found = by_place(documents, *names)
+    return placed.select(*[F.col(c).alias(n) for c, n in zip(found, names)])
+
+
 def hashes_of(text: Column) -> Column:
     """Hashes of the words of a text, repeats and empty strings at its ends included."""
     return F.transform(F.split(text, SPACES_PATTERN), lambda w: F.xxhash64(w))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import EMPTY, blank_split, release
+from tidewatch.llm.common import EMPTY, blank_split, by_place, only, release
 from tidewatch.llm.fixed import fixed_array, may_contain, membership
 from tidewatch.runtime import discard, materialize
 
@@ -180,15 +180,15 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     Rows with equal doc_id and text count as one document, so repeated rows stay equal. Extra columns are kept as they
     are, an empty table gives an empty result.
     """
-    removed = similar_lines(documents)
+    placed, [doc, text] = by_place(documents, "doc_id", "text")
+    removed = similar_lines(only(documents, "doc_id", "text"))
     gone = materialize(removed.groupBy("name").agg(F.collect_list("line_no").alias("gone_lines")), "gone").withColumnRenamed("name", "gone_name")
-    name = _row_name(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    name = _row_name(F.col(doc).cast("long"), F.col(text).cast("string"))
     touched = may_contain(membership(gone.select(F.xxhash64("gone_name").alias("key"))), F.xxhash64(name))
-    columns = [c for c in documents.columns]
-    joined = documents.where(touched).join(gone, name == F.col("gone_name"), "left")
-    pieces = F.split(F.col("text").cast("string"), "\n", -1)
+    joined = placed.where(touched).join(gone, name == F.col("gone_name"), "left")
+    pieces = F.split(F.col(text).cast("string"), "\n", -1)
     keep = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("gone_lines"))
-    text = F.when(F.col("gone_lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(
+    left = F.when(F.col("gone_lines").isNull() | F.col(text).isNull(), F.col(text)).otherwise(
         F.array_join(F.transform(keep, lambda i: F.get(pieces, i)), "\n"))
-    changed = joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in columns])
-    return documents.where(~touched).unionByName(changed)
+    changed = joined.withColumn(text, left).select(*placed.columns)
+    return placed.where(~touched).unionByName(changed).toDF(*documents.columns)

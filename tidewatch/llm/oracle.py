@@ -8,7 +8,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 ORACLE["op3_source_mixing"] = f"""
 with sizes as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) as size from documents
+  select doc_id, source, text, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size from documents
 ), totals as (
   select source, sum(size) as source_size from sizes group by source
 ), weighted as (
@@ -22,13 +22,21 @@ with sizes as (
 ), goal as (
   select source, source_size, least(2.0 * source_size, weight * (select arg_min(level, full_level) filter (where level <= full_level) from ranked)) as target from ranked
 ), drawn as (
-  select d.doc_id, d.size, g.source_size::bigint as source_size, g.target, case when g.source_size > 0 then g.target / g.source_size else 0 end as rate,
-    ('0x' || substr(md5('7:' || coalesce(d.doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0 as draw
+  select d.doc_id, d.source, d.size, g.source_size::bigint as source_size, g.target, case when g.source_size > 0 then g.target / g.source_size else 0 end as rate,
+    length(bin(d.size)) * 8 + ((d.size * 8) >> length(bin(d.size))) as size_class,
+    ('0x' || substr(md5('7:' || coalesce(d.doc_id::varchar, d.text, '')), 1, 15))::bigint as draw,
+    ('0x' || substr(md5('7:' || coalesce(d.source, '')), 1, 15))::bigint::double / 1152921504606846976.0 as u
   from sizes d join goal g on d.source is not distinct from g.source
+), placed as (
+  select *, rate - floor(rate) as fraction,
+    rank() over (partition by source, size_class order by draw) as place,
+    count(*) over (partition by source, size_class) as n,
+    count(*) over (partition by source order by size_class range between unbounded preceding and current row) as c
+  from drawn
 )
 select doc_id, size::bigint as size, source_size, target,
-  (size * (floor(rate) + case when draw < rate - floor(rate) then 1 else 0 end))::bigint as taken
-from drawn
+  (size * (floor(rate) + case when place <= floor(c * fraction + u) - floor((c - n) * fraction + u) then 1 else 0 end))::bigint as taken
+from placed
 """
 
 ORACLE["op9_line_dedup"] = f"""

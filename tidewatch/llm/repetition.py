@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import SPACE, RollingHash, mix64, pieces, row_sums, utf8, words_of
+from tidewatch.llm.common import SPACE, RollingHash, by_place, mix64, pieces, row_sums, utf8, words_of
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -103,14 +103,17 @@ def repetition(documents: DataFrame) -> DataFrame:
     as repeated only within its own text.
     """
     kept = [c for c in documents.columns if c not in MEASURES]
-    base = documents.select(*[F.col(f"`{c}`") for c in kept])
+    return _measured(documents.select(*[F.col(f"`{c}`") for c in kept]), "text")
+
+
+def _measured(base: DataFrame, text: str) -> DataFrame:
     schema = T.StructType([*base.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = RollingHash()
         for whole in batches:
-            for batch in pieces(whole, "text"):
-                found = measure(*utf8(batch.column("text")), roll)
+            for batch in pieces(whole, text):
+                found = measure(*utf8(batch.column(text)), roll)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[m], pa.int64()) for m in MEASURES)],
                                                  names=[*batch.schema.names, *MEASURES])
 
@@ -132,6 +135,6 @@ def passes():
 
 
 def quality_filter(documents: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    names = [c for c in documents.columns if c not in MEASURES]
-    return repetition(documents).where(passes()).select(*names)
+    """The documents that pass, with all their own columns, those with the name of a measure too."""
+    placed, [text] = by_place(documents, "text")
+    return _measured(placed, text).where(passes()).select(*placed.columns).toDF(*documents.columns)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.llm.common import by_place, only
 from tidewatch.llm.components import components
 from tidewatch.runtime import materialize
 
@@ -50,13 +51,13 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(values.view(np.int64))],
                                              names=["doc_id", "digest", "fp"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"),
+    texts = only(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"),
                              F.encode(F.col("text").cast("string"), "UTF-8").alias("raw"))
     return texts.mapInArrow(run, "doc_id long, digest long, fp long")
 
 
-def _digest():
-    return F.xxhash64(F.col("text").cast("string"))
+def _digest(text: str = "text"):
+    return F.xxhash64(F.col(text).cast("string"))
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -227,13 +228,14 @@ def near_groups(documents: DataFrame, shingle: int = 3, budget: int = 2) -> Data
 def keep_one(documents: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:
     """One document of each group, with the columns of `documents`: the row whose doc_id names the group. Of several rows
     with that id the one with the smallest text digest stays, of equal texts the smallest row."""
+    placed, [doc, text] = by_place(documents, "doc_id", "text")
     groups = near_groups(documents, shingle, budget).where("doc_id <=> component_id")
     best = groups.groupBy("root").agg(F.min(F.struct("digest", "doc_id")).alias("best"))
     kept = (groups.select("root", "digest", "doc_id").join(best, "root").where("digest = best.digest")
             .groupBy(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).agg(F.count(F.lit(1)).alias("rows")))
     kept = materialize(kept, "kept")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (_digest() == F.col("kept_digest"))
-    once = documents.join(kept.where("rows = 1"), same, "left_semi")
-    again = documents.join(kept.where("rows > 1"), same, "left_semi")
-    least = again.groupBy("doc_id", _digest()).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in documents.columns])).alias("first"))
-    return once.unionByName(least.select(*[F.col("first").getField(c).alias(c) for c in documents.columns]))
+    same = F.col(doc).cast("long").eqNullSafe(F.col("kept_id")) & (_digest(text) == F.col("kept_digest"))
+    once = placed.join(kept.where("rows = 1"), same, "left_semi")
+    again = placed.join(kept.where("rows > 1"), same, "left_semi")
+    least = again.groupBy(F.col(doc).cast("long"), _digest(text)).agg(F.min(F.struct(*placed.columns)).alias("first"))
+    return once.unionByName(least.select(*[F.col("first").getField(c).alias(c) for c in placed.columns])).toDF(*documents.columns)
