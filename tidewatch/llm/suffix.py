@@ -1,17 +1,19 @@
-"""Removal of repeated substrings by names of byte ranges after sampled positions.
+"""Removal of repeated substrings by prefix doubling over sampled positions.
 
 Sampled positions depend on nearby bytes only: an anchor has the least hash of 16 bytes in some window of WINDOW
 positions, and the position WINDOW bytes before it is ranked. Both occurrences of a repeated string of `length` bytes have
 the same anchors in their inner part, so the first ranked position in them is the same and has `length` - WINDOW bytes of
-the string ahead. This is not prefix doubling: each task names three fixed ranges by rolling hashes, the two halves of
-these bytes and what follows up to `length` bytes, and nothing is sorted or ranked again. Spark counts the names of the
-first half, then of both halves, then of all three; positions whose names are unique leave at each step. Ranks are
-64-bit names of the bytes (only equality matters), counted with partial sums, so a passage in very many texts is no hot key.
-
-Positions that repeat over the whole length are marked for sure. Of those that repeat over the shorter length, the ones
-whose surroundings are not wholly marked name the classes that are still open. The window around each position of an open
-class, in any text, holds all strings that belong to it: windows that repeat are marked, and one of each kind of window
-ranks all its positions over the full length.
+the string ahead. Whether a position is ranked is settled by the BASE bytes from it on, and its first rank is that of these
+bytes. Then prefix doubling: the rank of a position and the rank of the one 1, 2, 4, ... ranked positions further on, with
+the bytes between the two, are a pair; Spark sorts pairs and positions into ranges, and the number of its pair in that order
+is the new rank of a position. Positions with a pair of their own leave at each step, and so do those whose next pair would
+reach past the bytes that both occurrences must share; the last step of a position may overlap the one before. Equal pairs
+are neighbours in the order, also where they fill many ranges, so a passage in very many texts is no hot key.
+
+Positions whose last rank and following bytes repeat over the whole length are marked for sure. Of the others with a
+repeated last rank, those whose surroundings are not wholly marked name the classes that are still open. The window around each
+position of an open class, in any text, holds all strings that belong to it: windows that repeat are marked, and one of each
+kind of window ranks all its positions over the full length.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ from tidewatch.runtime import discard, materialize
 LENGTH = 400
 WINDOW = 80
 GRAM = 16
+BASE = 2 * WINDOW + GRAM - 1
+LEVEL_BITS, RANGE_BITS = 59, 36       # a rank: level of doubling, sorted range, number in the range
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -69,57 +74,168 @@ class Text:
         return found[found >= 0]
 
 
-def _half(length: int) -> int:
-    return (length - WINDOW) // 2
+POSITION = "key long, i int, at int, reach int, rest long"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    roll, half = RollingHash(), _half(length)
+    """Ranked positions of the texts, numbered by i: how many of them, itself included, are near enough for pairs (reach), the
+    name of their BASE bytes, and of those from the end of the last of them to `length` (odd; even: end of a shorter text)."""
+    roll, span = RollingHash(), length - WINDOW - BASE
     for batch in batches:
-        keys, starts, names, sizes = [], [], [[], [], []], 0
+        columns, size = [], 0
         for key, raw in zip(batch.column("key").to_pylist(), batch.column("raw")):
             raw = raw.as_py()
             if raw is None or len(raw) < length:
                 continue
             text = Text(raw, roll)
             at = text.ranked()
-            at = at[at + 2 * half <= len(raw)]
+            at = at[at + BASE <= len(raw)]
+            last = np.searchsorted(at, at + span, side="right") - 1
+            rest = np.full(len(at), 2 * len(raw), np.uint64)
             long = at + length <= len(raw)
-            last = np.full(len(at), 2 * len(raw), np.uint64)      # even: the text ends before, and where
-            last[long] = text.names(at[long] + 2 * half, length - 2 * half) | np.uint64(1)
-            keys.append(np.full(len(at), key, np.int64))
-            starts.append(at)
-            for out, part in zip(names, (text.names(at, half), text.names(at + half, half), last)):
-                out.append(part)
-            sizes += len(at)
-            if sizes > 1 << 18:
-                yield _batch(keys, starts, names)
-                keys, starts, names, sizes = [], [], [[], [], []], 0
-        if keys:
-            yield _batch(keys, starts, names)
+            rest[long] = roll.ranges(text.prefix, at[last[long]] + BASE, at[long] + length) | np.uint64(1)
+            number = np.arange(len(at))
+            columns.append((np.full(len(at), key, np.int64), number.astype(np.int32), at.astype(np.int32), (last - number + 1).astype(np.int32),
+                            rest.view(np.int64), text.names(at, BASE).view(np.int64)))
+            size += len(at)
+            if size > 1 << 18:
+                yield _batch(columns)
+                columns, size = [], 0
+        if columns:
+            yield _batch(columns)
+
+
+def _batch(columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns)], names=["key", "i", "at", "reach", "rest", "a"])
+
+
+def _number_pairs(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    """New ranks in one sorted range; rows of equal positions become one (twice). A pair of one position leaves, but for the
+    first and last pair of the range, which may go on in others: two rows with i = -1 tell these (at: occurrences, 2 for more)."""
+    names = ["key", "i", "at", "reach", "rest", "twice", "a", "gap", "b"]
+    first = level << LEVEL_BITS | TaskContext.get().partitionId() << RANGE_BITS
+    held, group, open_size, ends = None, -1, 0, []
+
+    def emit(x, keep, rank):
+        none = pa.nulls(int(keep.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([*(pa.array(x[n][keep].astype(t)) for n, t in zip(names[:6], (np.int64, *[np.int32] * 3, np.int64, bool))),
+                                           pa.array(rank[keep]), none, none, none], names=[*names[:6], "rank", "a", "gap", "b"])
+
+    def numbered(x):
+        """(rows merged by position, pair starts) of whole rows in order."""
+        new = np.ones(len(x["key"]), bool)
+        new[1:] = np.any([x[n][1:] != x[n][:-1] for n in ("a", "gap", "b", "key", "i")], axis=0)
+        at = np.flatnonzero(new)
+        twice = np.logical_or.reduceat(x["twice"], at) | (np.diff(np.append(at, len(new))) > 1)
+        x = {n: v[at] for n, v in x.items()} | {"twice": twice}
+        start = np.ones(len(at), bool)
+        start[1:] = np.any([x[n][1:] != x[n][:-1] for n in ("a", "gap", "b")], axis=0)
+        return x, start
+
+    def flush(x, final):
+        """Emits all rows but the last one, which may go on in the next batch."""
+        nonlocal held, group, open_size
+        x, start = numbered(x)
+        start[0] = held is None or held["start"]
+        rank = group + np.cumsum(start)
+        stay = len(rank) if final else len(rank) - 1
+        same = np.zeros(len(rank), bool)
+        same[1:] = ~start[1:]
+        same[:-1] |= ~start[1:]
+        same[0] |= not start[0]
+        weight = 1 + x["twice"].astype(np.int64)
+        if stay:
+            # occurrences of the first pair of the range, and of the pair that is open at the end of these rows
+            if not ends:
+                ends.append([int(x[n][0]) for n in ("a", "gap", "b")] + [0])
+            ends[0][3] += int(weight[:stay][rank[:stay] == 0].sum())
+            of_last = int(weight[:stay][rank[:stay] == rank[stay - 1]].sum())
+            open_size = of_last + (open_size if rank[stay - 1] == group else 0)
+            last = [int(x[n][stay - 1]) for n in ("a", "gap", "b")] + [open_size]
+            ends[1:] = [last]
+            group = int(rank[stay - 1])
+        keep = same | x["twice"] | (rank == 0) | (final & (np.arange(len(rank)) == len(rank) - 1))
+        keep[stay:] = False
+        out = emit(x, keep, first + rank)
+        held = None if final else {"rows": {n: v[-1:] for n, v in x.items()}, "start": bool(start[-1])}
+        return out
 
-
-def _batch(keys, starts, names) -> pa.RecordBatch:
-    columns = [np.concatenate(keys), np.concatenate(starts).astype(np.int32), *(np.concatenate(n).view(np.int64) for n in names)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "at", "first", "second", "third"])
+    for batch in batches:
+        if batch.num_rows:
+            x = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
+            if held is not None:
+                x = {n: np.concatenate([held["rows"][n], x[n]]) for n in names}
+            yield flush(x, False)
+    if held is None:
+        return
+    yield flush(held["rows"], True)
+    sides = [(first, ends[0]), (first + group, ends[1])][:1 + (group > 0)]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([0] * len(sides), pa.int64()), pa.array([-1] * len(sides), pa.int32()), pa.array([min(e[3], 2) for _, e in sides], pa.int32()),
+         pa.array([0] * len(sides), pa.int32()), pa.array([0] * len(sides), pa.int64()), pa.array([False] * len(sides)), pa.array([r for r, _ in sides], pa.int64()),
+         *(pa.array([e[k] for _, e in sides], pa.int64()) for k in range(3))], names=[*names[:6], "rank", "a", "gap", "b"])
+
+
+def _rerank(pairs: DataFrame, level: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Positions whose pair (a, gap, b) occurs at least twice, with its number in the sorted order as rank, and the table to discard.
+
+    The driver sees the first and last pair of each range only: two rows for a task, whatever the number of positions."""
+    order = ["a", "gap", "b", "key", "i"]
+    ordered = pairs.repartitionByRange(*order).sortWithinPartitions(*order)
+    table = materialize(ordered.mapInArrow(lambda b: _number_pairs(b, level), POSITION + ", twice boolean, rank long, a long, gap long, b long"), name)
+    joined = []
+    for r in sorted(table.where("i < 0").select("rank", "a", "gap", "b", "at").collect()):
+        if joined and joined[-1][0] == r[1:4]:
+            joined[-1][1].append(r["rank"])
+            joined[-1][2] += r["at"]
+        else:
+            joined.append([r[1:4], [r["rank"]], r["at"]])
+    moved = [(rank, ranks[0], n > 1) for _, ranks, n in joined for rank in ranks]
+    moved = pairs.sparkSession.createDataFrame(moved, "rank long, to long, stays boolean")
+    rows = table.where("i >= 0").join(moved, "rank", "left").where(F.coalesce("stays", F.lit(True)))
+    return rows.select("key", "i", "at", "reach", "rest", "twice", F.coalesce("to", "rank").alias("rank")), table
+
+
+def _doubled(anchors: DataFrame, length: int) -> DataFrame:
+    """Columns key, i, at, rest, twice, rank: the positions with `length` - WINDOW bytes ahead whose last rank is not theirs alone."""
+    nothing = F.lit(0).cast("long")
+    rows, table = _rerank(anchors.withColumns({"gap": nothing, "b": nothing, "twice": F.lit(False)}), 0, "ranks-0")
+    ready, tables, step, level = [], [table], 1, 0
+    while True:
+        ahead = F.when(F.col("rest").bitwiseAND(F.lit(1)) == 1, F.col("at") + length).otherwise(F.shiftright("rest", 1))
+        ready.append(rows.where(F.col("reach") <= step).where(F.col("at") + length - WINDOW <= ahead).select("key", "i", "at", "rest", "twice", "rank"))
+        if not rows.where(F.col("reach") > step).take(1):
+            break
+        other = rows.where(F.col("reach") >= step).select("key", F.col("i").alias("next"), F.col("at").alias("next_at"), F.col("rank").alias("b"))
+        pairs = rows.where(F.col("reach") > step).withColumn("next", F.col("i") + F.least(F.lit(step), F.col("reach") - step)).join(other, ["key", "next"])
+        pairs = pairs.select("key", "i", "at", "reach", "rest", "twice", F.col("rank").alias("a"), (F.col("next_at") - F.col("at")).cast("long").alias("gap"), "b")
+        level, step = level + 1, 2 * step
+        rows, table = _rerank(pairs, level, f"ranks-{level}")
+        tables.append(table)
+    done = ready[0]
+    for part in ready[1:]:
+        done = done.unionByName(part)
+    done = materialize(done, "ranks")
+    for table in tables:
+        discard(table)
+    return done
 
 
 def _open_classes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rank pairs of the anchors that some string may belong to whose bytes are not all marked in its text."""
+    """Ranks of the positions that some string may belong to whose bytes are not all marked in its text."""
     for batch in batches:
-        first, second = [], []
+        ranks = []
         for near, sure in zip(batch.column("near"), batch.column("sure")):
             near = near.as_py()
             at = np.array([x["at"] for x in near], np.int64)
-            third = np.array([x["third"] for x in near], np.int64)
-            ends = np.where(third & 1, at + length, third >> 1)
+            rest = np.array([x["rest"] for x in near], np.int64)
+            ends = np.where(rest & 1, at + length, rest >> 1)
             size = int(ends.max())
             covered = np.concatenate([[0], np.cumsum(_cover(np.array(sure.as_py(), np.int64), length, size))])
             low = np.maximum(at - WINDOW + 1, 0)
             for k in np.flatnonzero(covered[ends] - covered[low] < ends - low):
-                first.append(near[k]["first"])
-                second.append(near[k]["second"])
-        yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["first", "second"])
+                ranks.append(near[k]["rank"])
+        yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64())], names=["rank"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -165,32 +281,27 @@ def _cover(starts: np.ndarray, length: int, size: int) -> np.ndarray:
     return np.cumsum(edge)[:size] > 0
 
 
-def _repeated(rows: DataFrame, *names: str) -> DataFrame:
-    """The rows whose names occur at least twice."""
-    often = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(often, list(names), "left_semi")
-
-
 def repeated_starts(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """Columns key, starts: for each text (its key, see `_keyed`) the starts of repeated strings that cover all removed bytes."""
-    if length < 3 * WINDOW + GRAM + 2:
-        raise ValueError(f"strings must have at least {3 * WINDOW + GRAM + 2} bytes")
+    if length < WINDOW + BASE:
+        raise ValueError(f"strings must have at least {WINDOW + BASE} bytes")
     spark = documents.sparkSession
     texts = _keyed(documents).select("key", "raw")
-    rows = texts.mapInArrow(lambda b: _anchor_rows(b, length), "key long, at int, first long, second long, third long")
-    rows = materialize(rows, "anchors")
-    one = materialize(_repeated(rows, "first"), "ranks-1")
+    rows = materialize(texts.mapInArrow(lambda b: _anchor_rows(b, length), POSITION + ", a long"), "anchors")
+    last = _doubled(rows, length)
     discard(rows)
     release(spark)
-    two = materialize(_repeated(one, "first", "second"), "ranks-2")
-    full = materialize(_repeated(two.where("third & 1 = 1"), "first", "second", "third").select("key", "at"), "ranks-3")
-    near = two.groupBy("key").agg(F.collect_list(F.struct("at", "first", "second", "third")).alias("near"))
+    nothing = F.lit(0).cast("long")
+    whole, whole_table = _rerank(last.where("rest & 1 = 1").select("key", "i", "at", F.lit(0).alias("reach"), "rest", "twice", F.col("rank").alias("a"),
+                                                                  nothing.alias("gap"), F.col("rest").alias("b")), 0, "ranks-whole")
+    full = whole.select("key", "at")
+    near = last.groupBy("key").agg(F.collect_list(F.struct("at", "rest", "rank")).alias("near"))
     sure = full.groupBy("key").agg(F.collect_set("at").alias("sure"))
     marks = near.join(sure, "key", "left").select("near", F.coalesce("sure", F.array().cast("array<int>")).alias("sure"))
-    still = marks.mapInArrow(lambda b: _open_classes(b, length), "first long, second long").distinct()
-    chosen = two.join(still, ["first", "second"], "left_semi").groupBy("key").agg(F.collect_set("at").alias("chosen"))
+    still = marks.mapInArrow(lambda b: _open_classes(b, length), "rank long").distinct()
+    chosen = last.join(still, "rank", "left_semi").groupBy("key").agg(F.collect_set("at").alias("chosen"))
     chosen = materialize(chosen, "open-anchors")
-    discard(one)
+    discard(last)
     release(spark)
 
     def in_texts(listed: DataFrame) -> DataFrame:
@@ -205,9 +316,12 @@ def repeated_starts(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     candidates = materialize(in_texts(single).mapInArrow(lambda b: _candidate_rows(b, length), "key long, at int, name long"), "candidates")
     release(spark)
     doubled = windows.join(alike.where("n > 1").select("name"), "name", "left_semi").select("key", F.explode(F.array("low", "high")).alias("at"))
-    starts = full.unionByName(_repeated(candidates, "name").select("key", "at")).unionByName(doubled)
+    alone = candidates.select("key", F.col("at").alias("i"), "at", F.lit(0).alias("reach"), nothing.alias("rest"), F.lit(False).alias("twice"),
+                              F.col("name").alias("a"), nothing.alias("gap"), nothing.alias("b"))
+    found, found_table = _rerank(alone, 0, "ranks-candidates")
+    starts = full.unionByName(found.select("key", "at")).unionByName(doubled)
     starts = materialize(starts.groupBy("key").agg(F.collect_set("at").alias("starts")), "starts")
-    for table in (two, full, chosen, windows, alike, candidates):
+    for table in (whole_table, found_table, chosen, windows, alike, candidates):
         discard(table)
     release(spark)
     return starts
