@@ -34,6 +34,7 @@ from tidewatch.runtime import discard, materialize
 LENGTH = 400
 WINDOW = 80
 GRAM = 16
+HEAVY = 256
 BASE = 2 * WINDOW + GRAM - 1
 LEVEL_BITS, RANGE_BITS = 59, 36       # a rank: level of doubling, sorted range, number in the range
 
@@ -281,6 +282,15 @@ def _cover(starts: np.ndarray, length: int, size: int) -> np.ndarray:
     return np.cumsum(edge)[:size] > 0
 
 
+def _having(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The rows whose value of `name` is in `wanted`. Values with more than one of HEAVY rows are fewer than HEAVY; their rows
+    are not shuffled by the value."""
+    total = rows.count()
+    heavy = [r[0] for r in rows.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HEAVY > total).select(name).collect()]
+    often = [r[0] for r in wanted.where(F.col(name).isin(heavy)).select(name).collect()]
+    return rows.where(F.col(name).isin(often)).unionByName(rows.where(~F.col(name).isin(heavy)).join(wanted, name, "left_semi").select(*rows.columns))
+
+
 def repeated_starts(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """Columns key, starts: for each text (its key, see `_keyed`) the starts of repeated strings that cover all removed bytes."""
     if length < WINDOW + BASE:
@@ -298,8 +308,8 @@ def repeated_starts(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     near = last.groupBy("key").agg(F.collect_list(F.struct("at", "rest", "rank")).alias("near"))
     sure = full.groupBy("key").agg(F.collect_set("at").alias("sure"))
     marks = near.join(sure, "key", "left").select("near", F.coalesce("sure", F.array().cast("array<int>")).alias("sure"))
-    still = marks.mapInArrow(lambda b: _open_classes(b, length), "rank long").distinct()
-    chosen = last.join(still, "rank", "left_semi").groupBy("key").agg(F.collect_set("at").alias("chosen"))
+    still = materialize(marks.mapInArrow(lambda b: _open_classes(b, length), "rank long").distinct(), "open-ranks")
+    chosen = _having(last, still, "rank").groupBy("key").agg(F.collect_set("at").alias("chosen"))
     chosen = materialize(chosen, "open-anchors")
     discard(last)
     release(spark)
@@ -315,13 +325,13 @@ def repeated_starts(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     single = alike.select("one.key", F.explode("one.ats").alias("at")).groupBy("key").agg(F.collect_set("at").alias("chosen"))
     candidates = materialize(in_texts(single).mapInArrow(lambda b: _candidate_rows(b, length), "key long, at int, name long"), "candidates")
     release(spark)
-    doubled = windows.join(alike.where("n > 1").select("name"), "name", "left_semi").select("key", F.explode(F.array("low", "high")).alias("at"))
+    doubled = _having(windows, alike.where("n > 1").select("name"), "name").select("key", F.explode(F.array("low", "high")).alias("at"))
     alone = candidates.select("key", F.col("at").alias("i"), "at", F.lit(0).alias("reach"), nothing.alias("rest"), F.lit(False).alias("twice"),
                               F.col("name").alias("a"), nothing.alias("gap"), nothing.alias("b"))
     found, found_table = _rerank(alone, 0, "ranks-candidates")
     starts = full.unionByName(found.select("key", "at")).unionByName(doubled)
     starts = materialize(starts.groupBy("key").agg(F.collect_set("at").alias("starts")), "starts")
-    for table in (whole_table, found_table, chosen, windows, alike, candidates):
+    for table in (whole_table, found_table, still, chosen, windows, alike, candidates):
         discard(table)
     release(spark)
     return starts
