@@ -22,18 +22,18 @@ def small_batches(spark):
 @pytest.mark.parametrize("kinds", [1, 3, 60, 400])
 def test_pairs_are_numbered_alike_in_all_ranges(spark, small_batches, kinds):
     rng = random.Random(kinds)
-    rows = [(k, i, 7, 1, 0, False, rng.randrange(kinds), 0, rng.randrange(2)) for k in range(30) for i in range(10)]
+    rows = [(k, i, 7, 0, False, rng.randrange(kinds), 0, rng.randrange(2)) for k in range(30) for i in range(10)]
     rows += [rows[0], rows[5], rows[5], rows[299]]                 # equal rows are occurrences of each other
-    seen = Counter((r[6], r[8]) for r in rows)
+    seen = Counter((r[5], r[7]) for r in rows)
     pairs = spark.createDataFrame(rows, suffix.POSITION + ", twice boolean, a long, gap long, b long").repartition(4)
     out, _ = suffix._rerank(pairs, 3, "test-ranks")
     got = {(r["key"], r["i"]): r["rank"] for r in out.collect()}
     assert out.count() == len(got)
-    assert set(got) == {r[:2] for r in rows if seen[r[6], r[8]] > 1}
+    assert set(got) == {r[:2] for r in rows if seen[r[5], r[7]] > 1}
     names = defaultdict(set)
     for r in rows:
         if r[:2] in got:
-            names[r[6], r[8]].add(got[r[:2]])
+            names[r[5], r[7]].add(got[r[:2]])
     assert all(len(n) == 1 for n in names.values()) and len({min(n) for n in names.values()}) == len(names)
     assert all(rank >> suffix.LEVEL_BITS == 3 for rank in got.values())
 

@@ -4,10 +4,11 @@ Sampled positions depend on nearby bytes only: an anchor has the least hash of 1
 positions, and the position WINDOW bytes before it is ranked. Both occurrences of a repeated string of `length` bytes have
 the same anchors in their inner part, so the first ranked position in them is the same and has `length` - WINDOW bytes of
 the string ahead. Whether a position is ranked is settled by the BASE bytes from it on, and its first rank is that of these
-bytes. Then prefix doubling: the rank of a position and the rank of the one 1, 2, 4, ... ranked positions further on, with
-the bytes between the two, are a pair; Spark sorts pairs and positions into ranges, and the number of its pair in that order
-is the new rank of a position. Positions with a pair of their own leave at each step, and so do those whose next pair would
-reach past the bytes that both occurrences must share; the last step of a position may overlap the one before. Equal pairs
+bytes. Then prefix doubling: the rank of a position, the rank of the last position that the bytes of the first rank reach, and
+the distance of the two are a pair, which stands for all bytes of both; Spark sorts pairs and positions into ranges, and the
+number of its pair in that order is the new rank of a position. Positions with a pair of their own leave at each step. The
+distances double (`steps`) up to the bytes that both occurrences must share; the last one is cut to them: strings of 400 bytes
+have first ranks of 175 bytes, one step to 320 and one to 400. Equal pairs
 are neighbours in the order, also where they fill many ranges, so a passage in very many texts is no hot key.
 
 Positions whose last rank and following bytes repeat over the whole length are marked for sure. Of the others with a
@@ -75,13 +76,27 @@ class Text:
         return found[found >= 0]
 
 
-POSITION = "key long, i int, at int, reach int, rest long"
+POSITION = "key long, i int, at int, rest long"
+
+
+def steps(length: int) -> list[int]:
+    """Most bytes to the second position of a pair at each step. Ranks of a step reach the last position within some number of
+    bytes, and BASE bytes more; the second position lies inside these, and its own reach ends with the shared bytes."""
+    span, reach, out = length - WINDOW - BASE, 0, []
+    while reach < span:
+        out.append(min(reach + BASE - (WINDOW if out else 0), span - reach))
+        reach += out[-1]
+    return out
+
+
+def _jumps(length: int) -> list[str]:
+    return [f"jump_{k}" for k in range(len(steps(length)))]
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Ranked positions of the texts, numbered by i: how many of them, itself included, are near enough for pairs (reach), the
-    name of their BASE bytes, and of those from the end of the last of them to `length` (odd; even: end of a shorter text)."""
-    roll, span = RollingHash(), length - WINDOW - BASE
+    """Ranked positions of the texts, numbered by i: the name of their BASE bytes, that of the bytes from the end of their last rank
+    to `length` (odd; even: end of a shorter text), and how many positions on the second one of a pair is at each step."""
+    roll = RollingHash()
     for batch in batches:
         columns, size = [], 0
         for key, raw in zip(batch.column("key").to_pylist(), batch.column("raw")):
@@ -91,36 +106,41 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             text = Text(raw, roll)
             at = text.ranked()
             at = at[at + BASE <= len(raw)]
-            last = np.searchsorted(at, at + span, side="right") - 1
+            last = np.arange(len(at))
+            for most in steps(length):        # where the rank of a step ends: the end of its second position's rank
+                last = last[np.searchsorted(at, at + most, side="right") - 1]
             rest = np.full(len(at), 2 * len(raw), np.uint64)
             long = at + length <= len(raw)
             rest[long] = roll.ranges(text.prefix, at[last[long]] + BASE, at[long] + length) | np.uint64(1)
             number = np.arange(len(at))
-            columns.append((np.full(len(at), key, np.int64), number.astype(np.int32), at.astype(np.int32), (last - number + 1).astype(np.int32),
-                            rest.view(np.int64), text.names(at, BASE).view(np.int64)))
+            jumps = [(np.searchsorted(at, at + most, side="right") - 1 - number).astype(np.int32) for most in steps(length)]
+            columns.append((np.full(len(at), key, np.int64), number.astype(np.int32), at.astype(np.int32), rest.view(np.int64),
+                            text.names(at, BASE).view(np.int64), *jumps))
             size += len(at)
             if size > 1 << 18:
-                yield _batch(columns)
+                yield _batch(columns, length)
                 columns, size = [], 0
         if columns:
-            yield _batch(columns)
+            yield _batch(columns, length)
 
 
-def _batch(columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns)], names=["key", "i", "at", "reach", "rest", "a"])
+def _batch(columns, length: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns)], names=["key", "i", "at", "rest", "a", *_jumps(length)])
 
 
-def _number_pairs(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+def _number_pairs(batches: Iterator[pa.RecordBatch], level: int, jumps: list[str]) -> Iterator[pa.RecordBatch]:
     """New ranks in one sorted range; rows of equal positions become one (twice). A pair of one position leaves, but for the
     first and last pair of the range, which may go on in others: two rows with i = -1 tell these (at: occurrences, 2 for more)."""
-    names = ["key", "i", "at", "reach", "rest", "twice", "a", "gap", "b"]
+    carried = ["key", "i", "at", "rest", *jumps, "twice"]
+    kinds = [np.int64, np.int32, np.int32, np.int64, *[np.int32] * len(jumps), bool]
+    names = [*carried, "a", "gap", "b"]
     first = level << LEVEL_BITS | TaskContext.get().partitionId() << RANGE_BITS
     held, group, open_size, ends = None, -1, 0, []
 
     def emit(x, keep, rank):
         none = pa.nulls(int(keep.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([*(pa.array(x[n][keep].astype(t)) for n, t in zip(names[:6], (np.int64, *[np.int32] * 3, np.int64, bool))),
-                                           pa.array(rank[keep]), none, none, none], names=[*names[:6], "rank", "a", "gap", "b"])
+        return pa.RecordBatch.from_arrays([*(pa.array(x[n][keep].astype(t)) for n, t in zip(carried, kinds)), pa.array(rank[keep]), none, none, none],
+                                          names=[*carried, "rank", "a", "gap", "b"])
 
     def numbered(x):
         """(rows merged by position, pair starts) of whole rows in order."""
@@ -171,19 +191,21 @@ def _number_pairs(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.
         return
     yield flush(held["rows"], True)
     sides = [(first, ends[0]), (first + group, ends[1])][:1 + (group > 0)]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([0] * len(sides), pa.int64()), pa.array([-1] * len(sides), pa.int32()), pa.array([min(e[3], 2) for _, e in sides], pa.int32()),
-         pa.array([0] * len(sides), pa.int32()), pa.array([0] * len(sides), pa.int64()), pa.array([False] * len(sides)), pa.array([r for r, _ in sides], pa.int64()),
-         *(pa.array([e[k] for _, e in sides], pa.int64()) for k in range(3))], names=[*names[:6], "rank", "a", "gap", "b"])
+    told = {n: np.zeros(len(sides), t) for n, t in zip(carried, kinds)}
+    told |= {"i": np.full(len(sides), -1, np.int32), "at": np.array([min(e[3], 2) for _, e in sides], np.int32)}
+    yield pa.RecordBatch.from_arrays([*(pa.array(told[n]) for n in carried), pa.array([r for r, _ in sides], pa.int64()),
+                                      *(pa.array([e[k] for _, e in sides], pa.int64()) for k in range(3))], names=[*carried, "rank", "a", "gap", "b"])
 
 
-def _rerank(pairs: DataFrame, level: int, name: str) -> tuple[DataFrame, DataFrame]:
+def _rerank(pairs: DataFrame, level: int, name: str, jumps: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Positions whose pair (a, gap, b) occurs at least twice, with its number in the sorted order as rank, and the table to discard.
 
     The driver sees the first and last pair of each range only: two rows for a task, whatever the number of positions."""
+    jumps = jumps or []
     order = ["a", "gap", "b", "key", "i"]
+    columns = ", ".join([POSITION, *(f"{j} int" for j in jumps), "twice boolean, rank long, a long, gap long, b long"])
     ordered = pairs.repartitionByRange(*order).sortWithinPartitions(*order)
-    table = materialize(ordered.mapInArrow(lambda b: _number_pairs(b, level), POSITION + ", twice boolean, rank long, a long, gap long, b long"), name)
+    table = materialize(ordered.mapInArrow(lambda b: _number_pairs(b, level, jumps), columns), name)
     joined = []
     for r in sorted(table.where("i < 0").select("rank", "a", "gap", "b", "at").collect()):
         if joined and joined[-1][0] == r[1:4]:
@@ -194,31 +216,25 @@ def _rerank(pairs: DataFrame, level: int, name: str) -> tuple[DataFrame, DataFra
     moved = [(rank, ranks[0], n > 1) for _, ranks, n in joined for rank in ranks]
     moved = pairs.sparkSession.createDataFrame(moved, "rank long, to long, stays boolean")
     rows = table.where("i >= 0").join(moved, "rank", "left").where(F.coalesce("stays", F.lit(True)))
-    return rows.select("key", "i", "at", "reach", "rest", "twice", F.coalesce("to", "rank").alias("rank")), table
+    return rows.select("key", "i", "at", "rest", *jumps, "twice", F.coalesce("to", "rank").alias("rank")), table
 
 
 def _doubled(anchors: DataFrame, length: int) -> DataFrame:
     """Columns key, i, at, rest, twice, rank: the positions with `length` - WINDOW bytes ahead whose last rank is not theirs alone."""
-    nothing = F.lit(0).cast("long")
-    rows, table = _rerank(anchors.withColumns({"gap": nothing, "b": nothing, "twice": F.lit(False)}), 0, "ranks-0")
-    ready, tables, step, level = [], [table], 1, 0
-    while True:
-        ahead = F.when(F.col("rest").bitwiseAND(F.lit(1)) == 1, F.col("at") + length).otherwise(F.shiftright("rest", 1))
-        ready.append(rows.where(F.col("reach") <= step).where(F.col("at") + length - WINDOW <= ahead).select("key", "i", "at", "rest", "twice", "rank"))
-        if not rows.where(F.col("reach") > step).take(1):
-            break
-        other = rows.where(F.col("reach") >= step).select("key", F.col("i").alias("next"), F.col("at").alias("next_at"), F.col("rank").alias("b"))
-        pairs = rows.where(F.col("reach") > step).withColumn("next", F.col("i") + F.least(F.lit(step), F.col("reach") - step)).join(other, ["key", "next"])
-        pairs = pairs.select("key", "i", "at", "reach", "rest", "twice", F.col("rank").alias("a"), (F.col("next_at") - F.col("at")).cast("long").alias("gap"), "b")
-        level, step = level + 1, 2 * step
-        rows, table = _rerank(pairs, level, f"ranks-{level}")
-        tables.append(table)
-    done = ready[0]
-    for part in ready[1:]:
-        done = done.unionByName(part)
-    done = materialize(done, "ranks")
-    for table in tables:
-        discard(table)
+    nothing, jumps = F.lit(0).cast("long"), _jumps(length)
+    rows, table = _rerank(anchors.withColumns({"gap": nothing, "b": nothing, "twice": F.lit(False)}), 0, "ranks-0", jumps)
+    for level, jump in enumerate(jumps, 1):
+        left = jumps[level:]
+        other = rows.select("key", F.col("i").alias("next"), F.col("at").alias("next_at"), F.col("rank").alias("b"))
+        pairs = rows.withColumn("next", F.col("i") + F.col(jump)).join(other, ["key", "next"])
+        pairs = pairs.select("key", "i", "at", "rest", *left, "twice", F.col("rank").alias("a"), (F.col("next_at") - F.col("at")).cast("long").alias("gap"), "b")
+        before = table
+        rows, table = _rerank(pairs, level, f"ranks-{level}", left)
+        discard(before)
+        release(anchors.sparkSession)
+    end = F.when(F.col("rest").bitwiseAND(F.lit(1)) == 1, F.col("at") + length).otherwise(F.shiftright("rest", 1))
+    done = materialize(rows.where(F.col("at") + length - WINDOW <= end), "ranks")
+    discard(table)
     return done
 
 
@@ -297,12 +313,12 @@ def repeated_starts(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"strings must have at least {WINDOW + BASE} bytes")
     spark = documents.sparkSession
     texts = _keyed(documents).select("key", "raw")
-    rows = materialize(texts.mapInArrow(lambda b: _anchor_rows(b, length), POSITION + ", a long"), "anchors")
+    rows = materialize(texts.mapInArrow(lambda b: _anchor_rows(b, length), ", ".join([POSITION, "a long", *(f"{j} int" for j in _jumps(length))])), "anchors")
     last = _doubled(rows, length)
     discard(rows)
     release(spark)
     nothing = F.lit(0).cast("long")
-    whole, whole_table = _rerank(last.where("rest & 1 = 1").select("key", "i", "at", F.lit(0).alias("reach"), "rest", "twice", F.col("rank").alias("a"),
+    whole, whole_table = _rerank(last.where("rest & 1 = 1").select("key", "i", "at", "rest", "twice", F.col("rank").alias("a"),
                                                                   nothing.alias("gap"), F.col("rest").alias("b")), 0, "ranks-whole")
     full = whole.select("key", "at")
     near = last.groupBy("key").agg(F.collect_list(F.struct("at", "rest", "rank")).alias("near"))
@@ -326,7 +342,7 @@ def repeated_starts(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     candidates = materialize(in_texts(single).mapInArrow(lambda b: _candidate_rows(b, length), "key long, at int, name long"), "candidates")
     release(spark)
     doubled = _having(windows, alike.where("n > 1").select("name"), "name").select("key", F.explode(F.array("low", "high")).alias("at"))
-    alone = candidates.select("key", F.col("at").alias("i"), "at", F.lit(0).alias("reach"), nothing.alias("rest"), F.lit(False).alias("twice"),
+    alone = candidates.select("key", F.col("at").alias("i"), "at", nothing.alias("rest"), F.lit(False).alias("twice"),
                               F.col("name").alias("a"), nothing.alias("gap"), nothing.alias("b"))
     found, found_table = _rerank(alone, 0, "ranks-candidates")
     starts = full.unionByName(found.select("key", "at")).unionByName(doubled)
