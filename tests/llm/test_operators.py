@@ -212,6 +212,21 @@ def test_chat(spark):
     assert chat.chat_digest(frame.limit(0)).count() == 0
 
 
+def test_chat_examples_are_written_out(spark):
+    odd = "<|im_end|>\n<|im_start|>assistant\nno <\\|"
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "é" + odd), (1, 2, "user", odd), (1, 3, "assistant", "b"), (1, 4, "user", "bye"), (2, 0, "user", "x"), (3, 0, "assistant", "y"),
+            (3, 1, "a\\n\n\\\\", "z")]
+    shown = [f"<|im_start|>{r[2]}\n{r[3].replace('<', '<' + chr(92)) if odd in r[3] else r[3]}<|im_end|>\n" for r in rows]
+    out = chat.expand(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    texts = {(r["conv_id"], r["position"]): r["text"] for r in out}
+    assert set(texts) == {(1, 2), (1, 4), (1, 5), (2, 1), (3, 1), (3, 2)} and len(out) == 6
+    assert [texts[1, k] for k in (2, 4, 5)] == ["".join(shown[:k]) for k in (2, 4, 5)] and texts[3, 1] == shown[6]
+    masked = {(r["conv_id"], r["position"]): r["text"][r["loss_start"]:r["loss_end"]] for r in out if r["loss_start"] is not None}
+    assert set(masked) == {(1, 2), (1, 4), (3, 1)} and masked[1, 4] == "b" and masked[1, 2].startswith("é<\\|im_end")
+    assert all(r["text"].endswith(masked[r["conv_id"], r["position"]] + "<|im_end|>\n") for r in out if r["loss_start"] is not None)
+    assert {(r["conv_id"], r["position"]) for r in out if r["last"]} == {(1, 5), (2, 1), (3, 2)}
+
+
 def test_repetition(docs, none):
     def want(t):
         words = WORD.findall(t)

@@ -1,24 +1,18 @@
 """Chat formatting by prefix-target expansion: every assistant turn is an example whose context is all turns before it.
 
-The formatted turns of a conversation follow each other as one stream. An example is a range of it: its context is the
-stream up to the reply, and only the reply is trainable. So the examples of a conversation of any length share their
-prefixes, and the output stays as large as its input; `render` writes an example's text out where it is wanted.
+The formatted turns of a conversation follow each other as one stream (`format_turns`). `expand` writes out the examples:
+each is the stream up to and with one reply, and only this reply is trainable. An example holds its whole context, so the
+examples of a conversation grow with the square of its length; they are made in the window that orders the turns and are
+never shuffled.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.runtime import materialize
-
 START, END = "<|im_start|>", "<|im_end|>"
-SPLIT = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
+SPLIT = r"(?s)<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n"
 
 
 def escape(text: Column) -> Column:
@@ -26,16 +20,17 @@ def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 
 
-def unescape(text: str) -> str:
-    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+def unescape(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
 
 
 def escape_role(role: Column) -> Column:
     return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
 
 
-def unescape_role(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+def unescape_role(role: Column) -> Column:
+    pieces = F.split(unescape(role), r"\\\\", -1)
+    return F.array_join(F.transform(pieces, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
@@ -65,6 +60,20 @@ def format_turns(conversations: DataFrame) -> DataFrame:
                        F.when(trainable, at + F.length("body")).alias("loss_end"))
 
 
+def expand(turns: DataFrame) -> DataFrame:
+    """Columns conv_id, position, text, loss_start, loss_end, last: the written-out examples of the formatted `turns`.
+
+    One row for every trainable turn: the stream up to and with it, and the range of the reply in that text (code points,
+    end exclusive). If a conversation ends in other turns, one more row holds its whole stream, with nulls for the range.
+    `last` is true for the longest row of a conversation.
+    """
+    order = Window.partitionBy("conv_id").orderBy("position")
+    rows = turns.withColumns({
+        "text": F.array_join(F.collect_list("segment").over(order.rowsBetween(Window.unboundedPreceding, 0)), ""),
+        "last": F.lead("position").over(order).isNull()})
+    return rows.where(F.col("trainable") | F.col("last")).select("conv_id", "position", "text", "loss_start", "loss_end", "last")
+
+
 def render(turns: DataFrame, examples: DataFrame) -> DataFrame:
     """Columns conv_id, position, context, reply: the written-out text of the chosen `examples` (conv_id, position of a
     trainable turn) from the formatted `turns`. Grows with the length of the contexts that are asked for."""
@@ -85,45 +94,21 @@ def with_probe(conversations: DataFrame) -> DataFrame:
     return conversations.select(*[F.col(n).cast(t).alias(n) for n, t in probe.dtypes]).unionByName(probe)
 
 
-DIGEST = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
-          "n_examples long, example_chars long")
-
-
-def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Parses the streams of a partition sorted by conversation and position, one turn at a time."""
-    state = None
-
-    def done(s):
-        return (s["id"], s["turns"], s["all"].hexdigest(), s["chars"], s["loss"].hexdigest(), s["size"], s["examples"], s["sum"])
-
-    for batch in batches:
-        out = []
-        ids = batch["conv_id"].astype("Int64")
-        for conv, missing, segment, start, end in zip(ids.fillna(0).tolist(), ids.isna().tolist(), batch["segment"],
-                                                      batch["loss_start"].tolist(), batch["loss_end"].tolist()):
-            key = None if missing else conv
-            if state is None or state["id"] != key:
-                if state is not None:
-                    out.append(done(state))
-                state = {"id": key, "turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "size": 0, "examples": 0, "sum": 0}
-            found = SPLIT.fullmatch(segment)
-            role, text = unescape_role(found[1]), unescape(found[2])
-            state["turns"] += 1
-            state["all"].update(f"{role}\n{text}\n".encode())
-            if start == start and start is not None:
-                reply = unescape(segment[int(start) - state["size"]:int(end) - state["size"]])
-                state["chars"] += len(reply)
-                state["loss"].update(reply.encode())
-                state["examples"] += 1
-                state["sum"] += state["size"] + len(segment)
-            state["size"] += len(segment)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in DIGEST.split(", ")]).astype({"conv_id": "Int64"})
-    if state is not None:
-        yield pd.DataFrame([done(state)], columns=[c.split()[0] for c in DIGEST.split(", ")]).astype({"conv_id": "Int64"})
-
-
 def chat_digest(conversations: DataFrame) -> DataFrame:
-    """Formats, writes the stream, and reads turns and loss ranges back from what was written, for each conversation."""
-    written = materialize(format_turns(conversations), "chat")
-    turns = written.select("conv_id", "position", "segment", "loss_start", "loss_end")
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "position").mapInPandas(_read_back, DIGEST)
+    """Writes out all examples, then reads back from their texts: the replies under the masks, one from each example, and
+    the turns from the longest one."""
+    text = F.col("text")
+    reply = F.substring(text, F.col("loss_start").cast("int") + 1, (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    masked = F.col("loss_start").isNotNull()
+    read = expand(format_turns(conversations)).select(
+        "conv_id", F.when(masked, F.struct("position", unescape(reply).alias("reply"))).alias("masked"),
+        F.when(masked, F.length(text).cast("long")).alias("size"), F.when(F.col("last"), text).alias("stream"))
+    whole = read.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list("masked")).alias("masked"), F.first("stream", ignorenulls=True).alias("stream"),
+        F.count("size").alias("n_examples"), F.coalesce(F.sum("size"), F.lit(0).cast("long")).alias("example_chars"))
+    said = F.array_join("masked.reply", "")
+    roles, texts = (F.regexp_extract_all("stream", F.lit(SPLIT), F.lit(k)) for k in (1, 2))
+    told = F.array_join(F.zip_with(roles, texts, lambda role, t: F.concat(unescape_role(role), F.lit("\n"), unescape(t), F.lit("\n"))), "")
+    return whole.select("conv_id", F.size(roles).cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+                        F.length(said).cast("long").alias("loss_chars"), F.sha2(said, 256).alias("loss_sha256"),
+                        F.length("stream").cast("long").alias("formatted_chars"), "n_examples", "example_chars")
