@@ -268,6 +268,24 @@ def test_imatch(docs, none):
     assert imatch.fingerprint_edits(none).count() == 0
 
 
+@pytest.mark.parametrize("weight", [1, 200, 1 << 23])
+def test_imatch_moves_texts_once(spark, monkeypatch, weight):
+    monkeypatch.setattr(imatch, "PART_CHARS", weight)
+    rows = [(i * i % 31, f"{i} alpha beta " * (1 + i % 7)) for i in range(16)] + [(None, "none " * 9), (-5, None), (3, "x")]
+    texts = {i: t or "" for i, t in rows}
+    order = sorted(texts, key=lambda i: (i is not None, i or 0), reverse=True)
+    want = {}
+    for k, i in enumerate(order):
+        cut = len(texts[i]) // 3
+        want[i] = hashlib.sha256((texts[i][:len(texts[i]) - cut] + texts[order[(k + 1) % len(order)]][:cut]).encode()).hexdigest()
+    rows = [(i, texts[i]) for i in texts]
+    found = imatch.fingerprint_edits(spark.createDataFrame(rows + rows[:3] + rows[:1], "doc_id long, text string").repartition(4))
+    out = found.collect()
+    assert len(out) == len(rows) + 4 and all(r["edited_sha256"] == want[r["doc_id"]] for r in out)
+    assert len({tuple(r) for r in out}) == len(rows)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Window") == 3
+
+
 def test_suffix(docs, none):
     rows = [(i, t.encode()) for i, t in pairs(docs)]
     seen = Counter(b[p:p + 400] for _, b in rows for p in range(len(b) - 399))

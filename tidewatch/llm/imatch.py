@@ -10,18 +10,19 @@ of any length and one edit changes only a few hashes; two neighbouring densities
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import EMPTY, hashes_of, release
 from tidewatch.llm.fixed import may_contain, membership
-from tidewatch.llm.ordering import in_order, with_next
+from tidewatch.llm.ordering import part_ends, with_guests
 from tidewatch.runtime import discard, materialize
 
 LEXICON = 1 << 18
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.1
 SUBSETS = 32
 FEW_TERMS = 8
+PART_CHARS = 1 << 23
 PLAIN = 64      # added to the level of a text with too few terms in the lexicon, which keeps all its terms
 
 
@@ -102,32 +103,27 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
     The next document is the one below in descending doc_id (null last; rows with one id by the digest of their text);
     rows equal in both are one document here and all get its result. A null text counts as empty, a single document is
     its own next one. Extra columns are ignored, an empty table gives an empty result.
+
+    Texts are shuffled once, to the parts of their order; the last row of a part is a guest at the start of the following part, so
+    the row before a row is its next document.
     """
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("key", F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("text")))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("key")]
-    rows = in_order(base.select("doc_id", "key", F.length("text").alias("n")).distinct(), *order)
-    if rows.isEmpty():
-        return base.select("doc_id", F.lit(0).cast("long").alias("n_chars"), *[F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")],
-                           *[F.lit(0.0).alias(c) for c in ("near_edited", "near_next")])
+    base = base.withColumn("key", F.bitwise_not(F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("text"))))
+    ends = part_ends(base.select("doc_id", "key", F.length("text").alias("n")), PART_CHARS, "n", "doc_id", "key")
     known = lexicon(base)
-    linked = with_next(rows)
-    following = materialize(linked.join(rows.select(F.col("at").alias("next_at"), F.col("key").alias("next_key")), "next_at").select("key", "next_key", "n"), "next")
-
-    # Texts move by their key, once to cut the heads that edits take, once to be edited; the first shuffle is freed before
-    # the second.
-    heads = base.join(following.select(F.col("next_key").alias("key"), F.col("key").alias("of"), "n"), "key")
-    heads = heads.select("of", F.expr("substring(text, 1, cast(n div 3 as int))").alias("head")).dropDuplicates(["of"])
-    heads = materialize(heads, "heads")
-    release(base.sparkSession)
-    edited = base.join(heads.withColumnRenamed("of", "key"), "key").withColumn(
-        "edited", F.concat(F.expr("substring(text, 1, cast(length(text) - length(text) div 3 as int))"), F.col("head")))
-    printed = with_prints(edited.select("doc_id", "key", F.length("text").cast("long").alias("n_chars"), "text", "edited"), ["text", "edited"], known)
-    printed = printed.select("doc_id", "key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.get("prints", 0).alias("own"), F.get("prints", 1).alias("changed"))
-    printed = materialize(printed, "prints")
-    discard(heads)
-    others = printed.select(F.col("key").alias("next_key"), F.col("own").alias("other")).dropDuplicates(["next_key"])
-    whole = printed.join(following.select("key", "next_key"), "key").join(others, "next_key")
-    return whole.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
-                        likeness(F.col("own"), F.col("changed")).cast("double").alias("near_edited"),
-                        likeness(F.col("own"), F.col("other")).cast("double").alias("near_next"))
+    order = Window.partitionBy("part").orderBy("own", "doc_id", "key")
+    placed = with_guests(base, ends, "doc_id", "key")
+
+    cut = F.expr("cast(length(text) div 3 as int)")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring(F.lag("text").over(order), F.lit(1), cut))
+    again = (F.lag("own").over(order) & F.col("own") & F.lag("doc_id").over(order).eqNullSafe(F.col("doc_id")) & (F.lag("key").over(order) == F.col("key")))
+    rows = placed.select("part", "own", "doc_id", "key", "text", F.coalesce(edited, F.lit("")).alias("edited"), F.coalesce(again, F.lit(False)).alias("again"))
+    printed = with_prints(rows, ["text", "edited"], known).select(
+        "part", "own", "doc_id", "key", "again", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        F.get("prints", 0).alias("own_print"), F.get("prints", 1).alias("changed"))
+    # Of equal rows the first one has the next document before it, and the others take its result.
+    found = F.when(~F.col("again"), F.struct("edited_sha256", "changed", F.lag("own_print").over(order).alias("other")))
+    whole = printed.select("own", "doc_id", "n_chars", "own_print", F.last(found, ignorenulls=True).over(order).alias("found")).where("own")
+    return whole.select("doc_id", "n_chars", "found.edited_sha256", as_text(F.col("own_print")).alias("fingerprint"), as_text(F.col("found.changed")).alias("edited_fingerprint"),
+                        likeness(F.col("own_print"), F.col("found.changed")).cast("double").alias("near_edited"),
+                        likeness(F.col("own_print"), F.col("found.other")).cast("double").alias("near_next"))
