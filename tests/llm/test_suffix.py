@@ -73,3 +73,30 @@ def test_repetitive_and_long_texts(spark, length):
 def test_shortest_length(none):
     with pytest.raises(ValueError):
         suffix.remove_repeats(none, suffix.WINDOW + suffix.BASE - 1)
+
+
+def test_constant_columns_are_not_shuffled(spark):
+    rows = [(k % 7, k % 3, k % 5) for k in range(60)]
+    pairs = spark.createDataFrame(rows, "key long, i int, a long").repartition(4)
+    out, table = suffix._rerank(pairs, 0, "test-lean")
+    assert {(r["key"], r["i"]) for r in out.collect()} == {r[:2] for r in rows}
+    assert {r["rest"] for r in out.collect()} == {0}
+
+
+def test_windows_are_ranges():
+    roll = suffix.RollingHash()
+    data = np.frombuffer(bytes(range(200)) * 3, np.uint8)
+    for size in (0, 15, 16, 17, 600):
+        prefix = roll.prefix(data[:size])
+        starts = np.arange(max(0, size - 15))
+        assert (roll.windows(prefix, 16) == roll.ranges(prefix, starts, starts + 16)).all()
+
+
+def test_open_classes():
+    import pyarrow as pa
+    near = [[{"at": 100, "rest": 1, "rank": 5}, {"at": 700, "rest": 1, "rank": 6}], [{"at": 90, "rest": 900, "rank": 7}], [{"at": 100, "rest": 1, "rank": 8}]]
+    sure = pa.array([[10, 100, 650], [], [21, 100]], pa.list_(pa.int32()))
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("rest", pa.int64()), ("rank", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(near, kind), sure], names=["near", "sure"])
+    found = lambda b: [x for out in suffix._open_classes(iter([b]), 400) for x in out.column("rank").to_pylist()]
+    assert found(batch) == [6, 7] and found(batch.slice(1)) == [7]
