@@ -100,3 +100,19 @@ def test_open_classes():
     batch = pa.RecordBatch.from_arrays([pa.array(near, kind), sure], names=["near", "sure"])
     found = lambda b: [x for out in suffix._open_classes(iter([b]), 400) for x in out.column("rank").to_pylist()]
     assert found(batch) == [6, 7] and found(batch.slice(1)) == [7]
+
+
+def test_texts_hashed_together_have_the_positions_of_each_alone(monkeypatch):
+    import pyarrow as pa
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcd") for _ in range(n)).encode()
+    texts = [letters(n) for n in (400, 3000, 0, 7, 399, 401, 94, 95, 5000, 254, 255, 800)] + [b"ab" * 900, b"a" * 700, "é".encode() * 300]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100, 100 + len(texts)), pa.int64()), pa.array(texts, pa.binary())], names=["key", "raw"])
+    found = []
+    for piece in (1, 4000, 1 << 20):
+        monkeypatch.setattr(suffix, "PIECE", piece)
+        found.append([r for b in suffix._anchor_rows(iter([batch.slice(2), batch.slice(0, 2)]), 400) for r in zip(*b.to_pydict().values())])
+    assert found[0] == found[1] == found[2]
+    alone = {100 + k: suffix.Text(t, suffix.RollingHash()).ranked().tolist() for k, t in enumerate(texts)}
+    want = [(key, i, at) for key, places in alone.items() for i, at in enumerate(places) if at + suffix.BASE <= len(texts[key - 100]) >= 400]
+    assert len(want) > 100 and sorted(r[:3] for r in found[2]) == want
