@@ -339,6 +339,49 @@ def test_lines(docs, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_lines_split_each_text_once(spark):
+    """Kept lines are picked from a column of split lines: a split inside the lambda runs again for every line of a text."""
+    out = lines.dedup_lines(spark.createDataFrame([(1, "a b c\na b c\nd e f"), (2, "g h i")], "doc_id long, text string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array_except(" in plan and not re.search(r"lambdafunction\([^\n]{0,40}split\(", plan)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a b c\nd e f"), (2, "g h i")]
+
+
+def test_lines_of_all_sizes_and_white_space(spark):
+    """Against brute force: sets on both sides of the bitmaps' width, any white space between words, lines of blanks alone."""
+    rng = random.Random(11)
+    rows, seen = [], []
+    for i in range(120):
+        body = []
+        for _ in range(3):
+            n = rng.choice((1, 2, 4, 5, 9, 30, lines.NARROW - 3, lines.NARROW, lines.NARROW + 1, lines.NARROW + 6, 110))
+            words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            if seen and rng.random() < 0.7:
+                words = list(rng.choice(seen))
+                for _ in range(rng.randint(0, 1 + len(words) // 5)):
+                    words[rng.randrange(len(words))] = f"w{rng.randrange(3000)}"
+                words = words[:max(1, len(words) - rng.randint(0, 1 + len(words) // 8))]
+            seen.append(words)
+            line = words[0]
+            for w in words[1:]:
+                line += rng.choice((" ", " ", " ", "  ", "\t", "\r", "\x0b \f") if i % 3 else " ") + w
+            body += [rng.choice(("", " ", "\t", "\r", " \x0b\f ")) + line] + ["  ", "\t\r", ""][:rng.randint(0, 2)]
+        rows.append((i, "\n".join(body)))
+    sets, want = [], []
+    for i, t in rows:
+        keep = []
+        for line in t.split("\n"):
+            s = frozenset(WORD.findall(line))
+            if not s or not any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in sets):
+                keep.append(line)
+            if s:
+                sets.append(s)
+        want.append((i, "\n".join(keep)))
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(tuple(r) for r in out) == want
+    assert 50 < sum(len(t.split("\n")) for _, t in rows) - sum(len(t.split("\n")) for _, t in want) < 350
+
+
 def test_lines_of_rows_with_null_and_equal_ids(spark):
     rng = random.Random(7)
     line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(9))

@@ -16,10 +16,12 @@ shuffled to be filtered; a full array only filters less, the joins after it are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import EMPTY, blank_split, by_place, only, release
+from tidewatch.llm.common import EMPTY, by_place, only, release
 from tidewatch.llm.fixed import fixed_array, may_contain, membership
 from tidewatch.runtime import discard, materialize
 
@@ -27,6 +29,8 @@ SIMILARITY = (4, 5)
 RARITY_SLOTS = 1 << 18
 RARITY_BITS = 8
 LAST = (1 << 63) - 1
+#: Sets of up to this many words have a bitmap of 64 bits, larger ones of 128.
+NARROW = 48
 
 
 def _prefix(n: Column, overlap: Column) -> Column:
@@ -39,17 +43,24 @@ def _row_name(doc: Column, text: Column) -> Column:
     return F.when(doc.isNull(), name.bitwiseAND(F.lit(LAST))).otherwise(name.bitwiseOR(F.lit(-LAST - 1)))
 
 
+def _plain(text: Column) -> Column:
+    """`text` with blanks as the only white space inside its lines: finding these characters as bytes, then splitting by a
+    blank, is several times faster than a regular expression on every line."""
+    other = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in "\t\x0B\f\r"])
+    return F.when(other, F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text)
+
+
 def _lines(documents: DataFrame) -> DataFrame:
-    """One row for each line with a word: doc, name (of the row), line_no, line. Equal rows give equal lines."""
+    """One row for each line with a word: doc, name (of the row), line_no, line (words between blanks). Equal rows give equal lines."""
     doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    named = documents.select(F.coalesce(doc, F.lit(LAST)).alias("doc"), _row_name(doc, text).alias("name"), text.alias("text"))
+    named = documents.select(F.coalesce(doc, F.lit(LAST)).alias("doc"), _row_name(doc, text).alias("name"), _plain(text).alias("text"))
     return (named.select("doc", "name", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-            .where(F.col("line").rlike(r"[^\x20\x09-\x0D]")))
+            .where(F.ltrim("line") != ""))
 
 
 def _ordered(lines: DataFrame, rarity: Column) -> DataFrame:
     """Adds words: the distinct words of a line, rarest first. A word is its step of rarity and 55 bits of its hash."""
-    hashes = F.array_remove(F.array_distinct(F.transform(blank_split(F.col("line")), lambda w: F.xxhash64(w))), EMPTY)
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), EMPTY)
     # The coalesce rules nulls out, so the array is sorted and compared as plain longs.
     coded = F.transform(hashes, lambda h: F.coalesce(F.get("rarity", h.bitwiseAND(F.lit(RARITY_SLOTS - 1))), F.lit(0).cast("long")).bitwiseOR(
         F.shiftrightunsigned(h, RARITY_BITS + 1)))
@@ -83,7 +94,7 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     p, q = SIMILARITY
     spark = documents.sparkSession
     lines = _lines(documents)
-    counted = (lines.select(F.explode(blank_split(F.col("line"))).alias("word"))
+    counted = (lines.select(F.explode(F.split("line", " ")).alias("word"))
                .groupBy(F.xxhash64("word").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("slot")).count())
     steps = F.least(F.floor(4 * F.log2("count")) + 1, F.lit((1 << RARITY_BITS) - 1))
     rarity = fixed_array(counted.select("slot", F.shiftleft(steps, 64 - RARITY_BITS - 1).alias("value")), RARITY_SLOTS)
@@ -92,17 +103,18 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     # 1. Sets, and the earliest line of each.
     words = F.col("words")
     full = materialize(_ordered(lines, rarity).select(
-        "doc", "name", "line_no", F.xxhash64(words).alias("key"), F.size(words).alias("n"), _parity(words).alias("bits"), _parity(_odd(words)).alias("odd"),
+        "doc", "name", "line_no", F.xxhash64(words).alias("key"), F.size(words).alias("n"), _parity(words).alias("bits"),
+        F.when(F.size(words) > NARROW, _parity(_odd(words))).otherwise(F.lit(0).cast("long")).alias("odd"),
         F.slice(words, 1, _prefix(F.size(words), F.ceil(F.size(words) * p / q))).alias("prefix")), "lines")
     at = F.struct("doc", "name", F.col("line_no").alias("line"))
-    whole = materialize(full.groupBy("key").agg(F.min(F.struct(at.alias("at"), "n", "bits", "odd", "prefix")).alias("first")).select("key", "first.*"), "line-sets")
+    first = F.min(F.struct(at.alias("at"), "n", "bits", "odd", "prefix")).alias("first")
+    sets = materialize(full.groupBy("key").agg(first, F.count(F.lit(1)).alias("many")).select("key", "first.*", "many"), "line-sets")
     keyed = materialize(full.select("name", "line_no", "key"), "line-keys")
-    sets = materialize(whole.select("key", "n", "at"), "sets")
     discard(full)
     release(spark)
 
     # 2. Sets that may have a partner. Each set is listed under its rarest words.
-    listed = whole.select("key", "bits", "odd", "n", F.posexplode("prefix").alias("pos", "word")).select(
+    listed = sets.select("key", "bits", "odd", "n", F.posexplode("prefix").alias("pos", "word")).select(
         "word", "key", "bits", "odd", (F.col("n").cast("long") * (1 << 32) + F.col("n") - F.col("pos")).alias("size"))
 
     def n_of(side: str) -> Column:
@@ -112,19 +124,20 @@ def similar_lines(documents: DataFrame) -> DataFrame:
         return F.col(f"{side}.size").bitwiseAND(F.lit((1 << 32) - 1))
 
     nx, ny = n_of("x"), n_of("y")
-    second = F.col("x.odd").bitwiseXOR(F.col("y.odd"))
-    apart = F.bit_count(second) + F.bit_count(second.bitwiseXOR(F.col("x.bits")).bitwiseXOR(F.col("y.bits")))
+    narrow, second = F.col("x.bits").bitwiseXOR(F.col("y.bits")), F.col("x.odd").bitwiseXOR(F.col("y.odd"))
+    apart = F.when(F.least(nx, ny) > NARROW, F.bit_count(second) + F.bit_count(second.bitwiseXOR(narrow))).otherwise(F.bit_count(narrow))
     close = ((F.col("x.word") == F.col("y.word")) & (F.col("x.key") != F.col("y.key"))
              & (apart * (p + q) <= (q - p) * (nx + ny))
              & (nx * p <= ny * q) & (ny * p <= nx * q) & (F.least(left_of("x"), left_of("y")) * (p + q) >= p * (nx + ny)))
     partners = listed.alias("x").join(listed.alias("y"), close, "left_semi").select("key").distinct()
-    chosen = materialize(sets.join(partners, "key", "left_semi"), "line-candidates")
-    discard(whole)
+    chosen = materialize(sets.select("key", "n", "at").join(partners, "key", "left_semi"), "line-candidates")
     release(spark)
 
     # Their words, read again from the lines that stand for them.
-    bitmap = membership(chosen.select(F.xxhash64("at.name", "at.line").alias("key")))
-    again = _ordered(lines.where(may_contain(bitmap, F.xxhash64("name", "line_no"))), rarity)
+    rows = membership(chosen.select(F.xxhash64("at.name").alias("key")))
+    places = membership(chosen.select(F.xxhash64("at.name", "at.line").alias("key")))
+    some = documents.where(may_contain(rows, F.xxhash64(_row_name(F.col("doc_id").cast("long"), F.col("text").cast("string")))))
+    again = _ordered(_lines(some).where(may_contain(places, F.xxhash64("name", "line_no"))), rarity)
     again = again.select(F.xxhash64("words").alias("key"), "words").dropDuplicates(["key"])
     chosen = materialize(chosen.join(again.withColumns(_wide_parity(words)), "key"), "line-words")
     release(spark)
@@ -165,10 +178,10 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     release(spark)
 
     # Every line of a similar set goes, of the other sets every line but the earliest.
-    first_place = sets.select(F.col("key"), F.col("at").alias("kept_at")).join(gone, "key", "left_anti")
-    kept = first_place.select("key", F.col("kept_at.name").alias("name"), F.col("kept_at.line").alias("line"))
-    removed = keyed.alias("l").join(kept.alias("k"), (F.col("l.key") == F.col("k.key")) & (F.col("l.name") == F.col("k.name"))
-                                    & (F.col("l.line_no") == F.col("k.line")), "left_anti")
+    repeated = sets.where("many > 1").select("key", F.col("at.name").alias("kept_name"), F.col("at.line").alias("kept_line")).join(gone, "key", "left_anti")
+    nowhere = F.lit(None)
+    touched = repeated.unionByName(gone.select("key", nowhere.cast("long").alias("kept_name"), nowhere.cast("int").alias("kept_line")))
+    removed = keyed.join(touched, "key").where(F.col("kept_name").isNull() | (F.col("name") != F.col("kept_name")) | (F.col("line_no") != F.col("kept_line")))
     return removed.select("name", "line_no").distinct()
 
 
@@ -186,9 +199,10 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     name = _row_name(F.col(doc).cast("long"), F.col(text).cast("string"))
     touched = may_contain(membership(gone.select(F.xxhash64("gone_name").alias("key"))), F.xxhash64(name))
     joined = placed.where(touched).join(gone, name == F.col("gone_name"), "left")
-    pieces = F.split(F.col(text).cast("string"), "\n", -1)
-    keep = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("gone_lines"))
+    # A column of its own, used twice, so that a text is split once and not again for each of its lines.
+    joined = joined.withColumn("pieces", F.split(F.col(text).cast("string"), "\n", -1))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), F.col("gone_lines"))
     left = F.when(F.col("gone_lines").isNull() | F.col(text).isNull(), F.col(text)).otherwise(
-        F.array_join(F.transform(keep, lambda i: F.get(pieces, i)), "\n"))
+        F.array_join(F.transform(keep, lambda i: F.get("pieces", i)), "\n"))
     changed = joined.withColumn(text, left).select(*placed.columns)
     return placed.where(~touched).unionByName(changed).toDF(*documents.columns)
