@@ -58,14 +58,19 @@ def _lines(documents: DataFrame) -> DataFrame:
             .where(F.ltrim("line") != ""))
 
 
-def _ordered(lines: DataFrame, rarity: Column) -> DataFrame:
-    """Adds words: the distinct words of a line, rarest first. A word is its step of rarity and 55 bits of its hash."""
+def _hashed(lines: DataFrame) -> DataFrame:
+    """Replaces line by hashes, one of each of its distinct words."""
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), EMPTY)
+    return lines.select("doc", "name", "line_no", hashes.alias("hashes"))
+
+
+def _ordered(hashed: DataFrame, rarity: Column) -> DataFrame:
+    """Adds words: the distinct words of a line, rarest first. A word is its step of rarity and 55 bits of its hash."""
     # The coalesce rules nulls out, so the array is sorted and compared as plain longs.
-    coded = F.transform(hashes, lambda h: F.coalesce(F.get("rarity", h.bitwiseAND(F.lit(RARITY_SLOTS - 1))), F.lit(0).cast("long")).bitwiseOR(
-        F.shiftrightunsigned(h, RARITY_BITS + 1)))
+    coded = F.transform("hashes", lambda h: F.coalesce(F.get("rarity", h.bitwiseAND(F.lit(RARITY_SLOTS - 1))).bitwiseOR(
+        F.shiftrightunsigned(h, RARITY_BITS + 1)), F.lit(0).cast("long")))
     # The optimizer merges both projections: the array is a constant of the plan, not a value of each row.
-    return lines.withColumn("rarity", rarity).withColumn("words", F.sort_array(coded)).drop("rarity")
+    return hashed.withColumn("rarity", rarity).withColumn("words", F.sort_array(coded)).drop("rarity")
 
 
 def _parity(words: Column) -> Column:
@@ -93,19 +98,20 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     """Columns name (see `_row_name`), line_no: the lines to remove from `documents` (doc_id, text), each once."""
     p, q = SIMILARITY
     spark = documents.sparkSession
-    lines = _lines(documents)
-    counted = (lines.select(F.explode(F.split("line", " ")).alias("word"))
-               .groupBy(F.xxhash64("word").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("slot")).count())
+    hashed = materialize(_hashed(_lines(documents)), "line-hashes")
+    counted = (hashed.select(F.explode("hashes").alias("hash"))
+               .groupBy(F.col("hash").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("slot")).count())
     steps = F.least(F.floor(4 * F.log2("count")) + 1, F.lit((1 << RARITY_BITS) - 1))
     rarity = fixed_array(counted.select("slot", F.shiftleft(steps, 64 - RARITY_BITS - 1).alias("value")), RARITY_SLOTS)
     release(spark)
 
     # 1. Sets, and the earliest line of each.
     words = F.col("words")
-    full = materialize(_ordered(lines, rarity).select(
+    full = materialize(_ordered(hashed, rarity).select(
         "doc", "name", "line_no", F.xxhash64(words).alias("key"), F.size(words).alias("n"), _parity(words).alias("bits"),
         F.when(F.size(words) > NARROW, _parity(_odd(words))).otherwise(F.lit(0).cast("long")).alias("odd"),
         F.slice(words, 1, _prefix(F.size(words), F.ceil(F.size(words) * p / q))).alias("prefix")), "lines")
+    discard(hashed)
     at = F.struct("doc", "name", F.col("line_no").alias("line"))
     first = F.min(F.struct(at.alias("at"), "n", "bits", "odd", "prefix")).alias("first")
     sets = materialize(full.groupBy("key").agg(first, F.count(F.lit(1)).alias("many")).select("key", "first.*", "many"), "line-sets")
@@ -137,7 +143,7 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     rows = membership(chosen.select(F.xxhash64("at.name").alias("key")))
     places = membership(chosen.select(F.xxhash64("at.name", "at.line").alias("key")))
     some = documents.where(may_contain(rows, F.xxhash64(_row_name(F.col("doc_id").cast("long"), F.col("text").cast("string")))))
-    again = _ordered(_lines(some).where(may_contain(places, F.xxhash64("name", "line_no"))), rarity)
+    again = _ordered(_hashed(_lines(some).where(may_contain(places, F.xxhash64("name", "line_no")))), rarity)
     again = again.select(F.xxhash64("words").alias("key"), "words").dropDuplicates(["key"])
     chosen = materialize(chosen.join(again.withColumns(_wide_parity(words)), "key"), "line-words")
     release(spark)
